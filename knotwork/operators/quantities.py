@@ -123,10 +123,11 @@ def convert_quantities(df: DataFrame, confident: float = CONFIDENT) -> DataFrame
     Null, blank and wordy texts give no_number; ties and redelivered rows change nothing; an empty table gives an
     empty result; extra columns are ignored.
     """
-    parsed = durable(with_neighbours(parse_quantities(df)))
-    model = UnitModel(parsed)
+    parsed = durable(parse_quantities(df))
+    near = with_neighbours(parsed)
+    model = UnitModel(near)
     sound = parsed.where("lo is not null and unit_no is not null and alt_lo is null").select("quantity_id", "quantity_type", "unit_no", "origin", "lo", "hi", F.lit(1.0).alias("sure"))
-    open_rows = parsed.where("lo is not null and (unit_no is null or alt_lo is not null)")
+    open_rows = near.where("lo is not null and (unit_no is null or alt_lo is not null)")
     if model.ready:
         both = model.score(model.score(open_rows, "lo", "hi", "a").withColumns({"alt_lo": F.coalesce("alt_lo", "lo"), "alt_hi": F.coalesce("alt_hi", "hi")}), "alt_lo", "alt_hi", "b")
         # The thousands reading stands unless the other one is clearly likelier: two to one for a stated unit.
