@@ -1,8 +1,8 @@
-"""Registered queries of this package; each module's part is added as it can be imported."""
+"""Registered queries of this package."""
 
 from __future__ import annotations
 
-from knotwork.llm import queries_text
+from knotwork.llm import queries_labels, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-ORACLES = {**queries_text.ORACLES}
+QUERIES = {**queries_text.QUERIES, **queries_labels.QUERIES}
+ORACLES = {**queries_text.ORACLES, **queries_labels.ORACLES}
