@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from knotwork.llm import queries_labels, queries_text
+from knotwork.llm import queries_answers, queries_labels, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_labels.QUERIES}
-ORACLES = {**queries_text.ORACLES, **queries_labels.ORACLES}
+_PARTS = (queries_answers, queries_text, queries_labels)
+QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _PARTS for k, v in m.ORACLES.items()}
