@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.lookalike import LETTERS, LIGATURES, ROMAN
 from knotwork.llm.chunks import split_oversized
+from knotwork.llm.quality import classify
 from knotwork.llm.unify import corpus_values, equal_looking_pairs, unify
 from knotwork.session import table
 
@@ -67,3 +68,15 @@ ORACLES = {
         w AS (SELECT text, count(*) OVER (PARTITION BY k) AS variants, first_value(text) OVER (PARTITION BY k ORDER BY length(regexp_replace(text, '[ -~]', '', 'g')), length(text), text) AS canonical FROM t)
         SELECT v.src, v.id, v.pos, w.canonical, coalesce(w.variants, 0)::BIGINT AS variants FROM v LEFT JOIN w ON v.text = w.text""",
 }
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents")).where("doc_class <> 'prose'").select("doc_id", "doc_class")
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's statistics, outlier score and class."""
+    return classify(table(spark, folder, "documents"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_statistics": p10_statistics}
