@@ -1,4 +1,4 @@
-"""Sizes of texts in tokens of a public tokenizer, and running totals over a distributed order."""
+"""Sizes of texts in tokens of a public tokenizer."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from knotwork.session import durable
+from pyspark.sql import DataFrame
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of this vocabulary.
@@ -38,17 +35,3 @@ def token_sizes(documents: DataFrame, columns: list[str], path: str = RANKS) ->
             yield batch.drop(columns="text")
 
     return documents.where("doc_id is not null").select("doc_id", *columns, "text").mapInPandas(run, schema).dropDuplicates(["doc_id"])
-
-
-def running_total(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds the sum of `value` over the rows of the group that come before the row.
-
-    Range-partitioned by group and order; the sums within a partition are shifted by the totals of the partitions
-    before it, of which there is one row a partition and group. A group may span any number of partitions.
-    """
-    ranged = durable(df.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("part", group).agg(F.sum(value).alias("of_part"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", group, F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(offsets), ["part", group]).withColumn(name, F.col(name) + F.col("shift")).drop("part", "shift")
