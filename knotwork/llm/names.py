@@ -227,7 +227,8 @@ def resolve_names(names: DataFrame, entries: DataFrame, tree_entries: int = TREE
             for batch in batches:
                 yield matcher.run(batch["name"])
 
-        hits = distinct.mapInPandas(one, MATCHES)
+        # The search costs more than its few bytes tell, so the names are spread over all cores.
+        hits = distinct.repartition(2 * names.sparkSession.sparkContext.defaultParallelism).mapInPandas(one, MATCHES)
     else:
         shards, slices = -(-spelled.count() // tree_entries), max(1, names.sparkSession.sparkContext.defaultParallelism)
         left = distinct.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
