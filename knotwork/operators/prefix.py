@@ -15,9 +15,9 @@ def running_total(df: DataFrame, group: str, order: list[str], value: str, name:
     before it, of which there is one row a partition and group. A group may span any number of partitions. Null values
     count 0; rows equal in group and order come in an arbitrary order.
     """
-    ranged = durable(df.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("part", group).agg(F.coalesce(F.sum(value), F.lit(0)).alias("of_part"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", group, F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("shift")).where("shift <> 0")
-    inside = Window.partitionBy("part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, ["part", group], "left").withColumn(name, F.col(name) + F.coalesce("shift", F.lit(0))).drop("part", "shift")
+    ranged = durable(df.repartitionByRange(group, *order).withColumn("kw_part", F.spark_partition_id()))
+    totals = ranged.groupBy("kw_part", group).agg(F.coalesce(F.sum(value), F.lit(0)).alias("kw_sum"))
+    before = Window.partitionBy(group).orderBy("kw_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("kw_part", group, F.coalesce(F.sum("kw_sum").over(before), F.lit(0)).alias("kw_shift")).where("kw_shift <> 0")
+    inside = Window.partitionBy("kw_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, ["kw_part", group], "left").withColumn(name, F.col(name) + F.coalesce("kw_shift", F.lit(0))).drop("kw_part", "kw_shift")
