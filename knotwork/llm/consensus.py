@@ -103,6 +103,10 @@ def _posteriors(codes: pa.Array, log_classes: np.ndarray, log_confusion: np.ndar
     return p / p.sum(axis=1, keepdims=True), flat, row
 
 
+def _count_of(score: int) -> F.Column:
+    return F.size(F.filter("s", lambda x: x == score))
+
+
 class Consensus:
     """Fit on a frame of votes; `labels` and `judges` give the results."""
 
@@ -178,7 +182,7 @@ class Consensus:
     def agreement(self) -> DataFrame:
         """Krippendorff's alpha for ordinal distance over all answers with two votes or more, in one row."""
         pairs = self.answers.where(F.size("codes") > 1).select(F.transform("codes", lambda c: c % 8).alias("s"), (F.size("codes") - 1).alias("m"))
-        tally = pairs.select("m", *[F.size(F.filter("s", lambda x, v=v: x == v)).alias(f"n{v}") for v in range(1, K + 1)])
+        tally = pairs.select("m", *[_count_of(v).alias(f"n{v}") for v in range(1, K + 1)])
         cells = [F.sum(F.col(f"n{a}") * (F.col(f"n{b}") - (1 if a == b else 0)) / F.col("m")).alias(f"o{a}{b}") for a in range(1, K + 1) for b in range(1, K + 1)]
         row = tally.agg(*cells).first()
         o = np.array([[row[f"o{a}{b}"] or 0.0 for b in range(1, K + 1)] for a in range(1, K + 1)])

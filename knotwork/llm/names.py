@@ -136,10 +136,16 @@ def allowed(words: str) -> int:
     return 0 if letters < 6 else 1 if letters < 8 else 2 if letters < 10 else 3 if letters < 16 else 4
 
 
+def alike(name: str, entry: str) -> bool:
+    """Whether each word is near the entry's word in its place, so that a long common tail does not lend edits to the name before it."""
+    a, b = name.split(" "), entry.split(" ")
+    return len(a) != len(b) or all(distance(x, y, 3) <= (2 if len(y) < 10 else 3) for x, y in zip(a, b))
+
+
 def shortened(tail: str, whole: str) -> bool:
     """Whether `tail` abbreviates the words of `whole`: its words, in order, start like a word there and drop letters ("c paper", "fb", "batt")."""
-    words, at = whole.split(" "), 0
-    for part in tail.split(" "):
+    words, at = whole.split(), 0
+    for part in tail.split():
         while at < len(words):
             if len(part) > 4 and distance(part, words[at], 2) <= 1 + (len(part) > 6):
                 at += 1
@@ -184,7 +190,7 @@ class Matcher:
         if (words, guard) not in self.seen:
             hits: dict[int, set[str]] = {}
             for d, entry in self.keys.within(words, allowed(words)):
-                if ids := self.by_key[entry].get(guard):
+                if (ids := self.by_key[entry].get(guard)) and alike(words, entry):
                     hits.setdefault(d, set()).update(ids)
             head, _, rest = words.partition(" ")
             if not hits and rest and len(head) > 6:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.functions.sizes import small_side
 from knotwork.llm.language import HAN, SETS
 from knotwork.session import durable
 
@@ -23,6 +24,7 @@ LOW, HIGH = "low", "high"
 # Fixed choice: the tail of each statistic in which texts stop looking like prose.
 TAILS = {"word_len": (LOW, HIGH), "symbol_share": (HIGH,), "digit_share": (HIGH,), "stop_lines": (LOW,), "common_share": (LOW, HIGH), "distinct_share": (LOW,), "item_share": (HIGH,), "cell_share": (HIGH,), "noise_share": (HIGH,)}
 OUTLIER = 2.0  # a score from which a document may be other than prose: e^-2 of its language's documents reach one such tail by chance
+FEW = 50  # with fewer documents of its language, ranks cannot tell what is usual and do not hold a document back
 EVERY = frozenset().union(*SETS.values())
 _ITEM = re.compile(r"^(?:[-*+•‣·▪◦●○■□–—>]|\d{1,3}[.)]|\(\d{1,3}\)|\[\d{1,3}\]|\[[ xX✓✔]?\]|[☐☑☒✓✔]|[a-zA-Z][.)]|\([a-z]\)|[ivx]{1,4}[.)])\s+")
 _LEADER = re.compile(r"(?:\.{3,}|…|(?:\s\.){3,}|_{3,}|\t)\s*\d+(?:[,\s-]+\d+)*$|,\s*\d{1,4}(?:[,–-]\s*\d{1,4})*$")
@@ -173,13 +175,13 @@ def describe(text: str) -> tuple:
     elif han * 3 <= chars and structured < 0.5:
         if n >= 8 and common_share < 0.04 and _clumps(tally) > 0.3:
             noise = max(noise, 0.95)  # letters that make no words
-        elif n >= 12 and common_share > 0.62 and distinct < 0.75:
+        elif n >= 12 and (common_share > 0.75 or common_share > 0.62 and distinct < 0.75):
             noise = max(noise, 0.9)  # common words only, in no sentence
         elif symbols > 0.35 * chars and common_share < 0.1:
             noise = max(noise, 0.9)
         elif n >= 1 and chars / n > 25 and common_share < 0.05:
             noise = max(noise, 0.9)
-    elif structured >= 0.5 and symbols > 0.45 * chars and common_share < 0.05 and letters < 0.35 * chars and sizes["cell"] < 0.8 * total:
+    elif structured >= 0.5 and symbols - text.count(".") > 0.45 * chars and common_share < 0.05 and letters < 0.35 * chars and sizes["cell"] < 0.8 * total:
         noise = max(noise, 0.9)
     values = (float(units), chars / max(1, n), symbols / chars, digits / chars, stop_lines / max(1, len(lines)), common_share, distinct, sizes["item"] / total, sizes["cell"] / total, noise)
     return (*[round(v, 4) for v in values], language)
@@ -230,7 +232,7 @@ HOT = 20_000  # a value that more documents share is joined by broadcast; of n d
 
 
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """The statistics with `score` (sum of -log tail probabilities over all tails that matter) and `peak` (the largest of them)."""
+    """The statistics with `score` (sum of -log tail probabilities over all tails that matter), `peak` (the largest of them) and `peers` (documents of the language)."""
     names = list(TAILS)
     tails = tail_probabilities(stats, names)
     penalty = None
@@ -243,8 +245,9 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     first = long.join(F.broadcast(hot), ["lang", "stat", "value"], "left")
     cold = first.where("hot_penalty is null").drop("hot_penalty").join(tails.where(F.col("count") < HOT).drop("count"), ["lang", "stat", "value"])
     both = cold.select("doc_id", "penalty").unionByName(first.where("hot_penalty is not null").select("doc_id", F.col("hot_penalty").alias("penalty")))
+    peers = small_side(stats.groupBy("lang").agg(F.count("*").alias("peers")))
     scores = both.groupBy("doc_id").agg(F.round(F.sum("penalty"), 4).alias("score"), F.round(F.max("penalty"), 4).alias("peak"))
-    return stats.join(scores, "doc_id")
+    return stats.join(scores, "doc_id").join(peers, "lang")
 
 
 def classify(documents: DataFrame, outlier: float = OUTLIER) -> DataFrame:
@@ -253,7 +256,7 @@ def classify(documents: DataFrame, outlier: float = OUTLIER) -> DataFrame:
     Ties share their ranks; an empty table gives no rows; very long texts are read whole.
     """
     scored = outlier_scores(durable(statistics(documents)))
-    stands_out = F.col("score") >= outlier
+    stands_out = (F.col("score") >= outlier) | (F.col("peers") < FEW)
     kind = F.when(F.col("noise_share") > 0.5, "junk").when((F.col("cell_share") > 0.5) & (F.col("cell_share") >= F.col("item_share")), "table").when(F.col("item_share") > 0.5, "list").when(F.col("cell_share") + F.col("item_share") + F.col("noise_share") > 0.6, F.when((F.col("cell_share") >= F.col("item_share")) & (F.col("cell_share") >= F.col("noise_share")), "table").when(F.col("item_share") >= F.col("noise_share"), "list").otherwise("junk"))
     # The share of a text that decides its class is exact; the outlier score keeps what is usual in its language out.
     return scored.withColumn("doc_class", F.when(stands_out & kind.isNotNull(), kind).otherwise("prose"))

@@ -17,11 +17,12 @@ def unify(values: DataFrame, text: str = "text") -> DataFrame:
     """Adds `canonical` (the class's member with the fewest characters outside ASCII, then the shortest, then the
     first in order) and `variants` (how many different texts the class has) to every row.
 
-    A null text has a null canonical and 0 variants. Texts of only blanks or invisible characters form one class.
+    Columns of these names are replaced. A null text has a null canonical and 0 variants. Texts of only blanks or invisible characters form one class.
     Repeated texts are reduced to one before the grouping, so a text that fills a third of the table costs one row
     there; the join back is left to the adaptive skew handling.
     """
     spark = values.sparkSession
+    values = values.drop("canonical", "variants")
     texts = values.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct()
     folded = texts.withColumn("k", fold(F.col("t")))
     classes = spark.sql(
