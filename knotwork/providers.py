@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class Completer(Protocol):
@@ -52,7 +53,7 @@ class Rotation:
 
 def complete(df: DataFrame, prompt: str, make: Callable[[], Completer], column: str = "answer") -> DataFrame:
     """Adds the completion of each row's prompt; `make` builds a provider once in each task. Null prompts stay null."""
-    schema = df.schema.add(column, "string")
+    schema = StructType([*df.schema.fields, StructField(column, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
