@@ -140,7 +140,7 @@ def alike(name: str, entry: str) -> bool:
     """Whether each word is near the entry's word in its place, so that a long common tail does not lend edits to the name before it."""
     a, b = name.split(" "), entry.split(" ")
     most = 4 if a[0] == b[0] else 3
-    return len(a) != len(b) or all(distance(x, y, most) <= (2 if len(y) < 7 else most) for x, y in zip(a, b))
+    return len(a) != len(b) or all(distance(x, y, most) <= (2 if len(y) < 7 else most) or y.startswith(x) for x, y in zip(a, b))
 
 
 def shortened(tail: str, whole: str) -> bool:
