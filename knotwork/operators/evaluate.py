@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import compact, normalise, terms
+from knotwork.session import durable
 
 FACTS = 5_000  # gold facts that one pass may rank for
 # Words of a claim and the relation they speak for.
@@ -31,19 +32,22 @@ def wanted_relation(claim: Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-def score(hybrid: bool = True) -> Column:
-    """Score of an evidence row for a claim, from their columns claim_norm, claim_compact, claim_terms, claim_relation and norm, vertices, relation_type, arity."""
-    hits = F.size(F.filter("claim_terms", lambda t: F.contains(F.col("norm"), t)))
-    lexical = hits / F.greatest(F.lit(1), F.size("claim_terms"))
+def prepare(evidence: DataFrame) -> DataFrame:
+    """Adds what scoring needs of an evidence row, worked out once a row: normal text, name parts of its vertices, compact conditions, numbers of its measurements."""
     part = lambda v: F.filter(F.split(F.element_at(F.split(normalise(v), ":"), -1), "_"), lambda p: p != "")
-    overlap = F.size(F.filter("vertices", lambda v: F.exists(part(v), lambda p: F.contains(F.col("claim_norm"), p)))) / F.greatest(F.lit(1), F.size("vertices"))
+    numbers = lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"([0-9]+(?:_[0-9]+)?)"), F.lit(1)), lambda n: F.replace(n, F.lit("_"), F.lit(".")))
+    begins = lambda kind: F.filter("vertices", lambda v: F.startswith(v, F.lit(kind)))
+    return evidence.withColumns({"norm": normalise(F.col("text")), "parts": F.transform("vertices", part), "conditions": F.transform(begins("condition:"), compact), "measures": F.transform(begins("measurement:"), numbers)})
+
+
+def score(hybrid: bool = True) -> Column:
+    """Score of a prepared evidence row for a claim, from the claim's columns claim_norm, claim_compact, claim_terms, claim_relation."""
+    lexical = F.size(F.filter("claim_terms", lambda t: F.contains(F.col("norm"), t))) / F.greatest(F.lit(1), F.size("claim_terms"))
+    overlap = F.size(F.filter("parts", lambda ps: F.exists(ps, lambda p: F.contains(F.col("claim_norm"), p)))) / F.greatest(F.lit(1), F.size("parts"))
     if not hybrid:
         return 0.75 * lexical + 0.25 * overlap
-    conditions = F.filter("vertices", lambda v: F.startswith(v, F.lit("condition:")))
-    condition = F.size(F.filter(conditions, lambda v: F.contains(F.col("claim_compact"), compact(v)))) / F.greatest(F.lit(1), F.size(conditions))
-    measures = F.filter("vertices", lambda v: F.startswith(v, F.lit("measurement:")))
-    numbers = lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"([0-9]+(?:_[0-9]+)?)"), F.lit(1)), lambda n: F.replace(n, F.lit("_"), F.lit(".")))
-    measured = F.size(F.filter(measures, lambda v: F.exists(numbers(v), lambda n: F.contains(F.col("claim_norm"), n)))) / F.greatest(F.lit(1), F.size(measures))
+    condition = F.size(F.filter("conditions", lambda c: F.contains(F.col("claim_compact"), c))) / F.greatest(F.lit(1), F.size("conditions"))
+    measured = F.size(F.filter("measures", lambda ns: F.exists(ns, lambda n: F.contains(F.col("claim_norm"), n)))) / F.greatest(F.lit(1), F.size("measures"))
     bonus = F.when((F.col("claim_relation") != "") & F.exists(F.split("claim_relation", r"\|"), lambda t: F.contains(F.coalesce("relation_type", F.lit("")), t)), 1.0).otherwise(0.0)
     return 0.45 * lexical + 0.25 * overlap + 0.15 * condition + 0.10 * measured + 0.05 * bonus + F.least(F.col("arity"), F.lit(6)) * 0.01
 
@@ -60,7 +64,10 @@ def rank(facts: DataFrame, evidence: DataFrame, k: int, hybrid: bool = True) ->
     spark = evidence.sparkSession
     schema = "fact_id bigint, claim_norm string, claim_compact string, claim_terms array<string>, claim_relation string"
     listed = F.broadcast(spark.createDataFrame(said, schema).withColumn("one", F.lit(1)))
-    pairs = evidence.withColumns({"norm": normalise(F.col("text")), "one": F.lit(1)}).join(listed, "one")
+    # Spread by rows, as the work is in the expressions and not in the bytes; materialised before the facts multiply
+    # the rows, as the optimiser would move the preparation behind the join.
+    ready = durable(prepare(evidence.repartition(2 * evidence.sparkSession.sparkContext.defaultParallelism)).drop("text"))
+    pairs = ready.withColumn("one", F.lit(1)).join(listed, "one")
     scored = pairs.select("fact_id", "evidence_id", F.round(score(hybrid), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("score"), "evidence_id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).where("score > 0")

@@ -46,7 +46,8 @@ def fact_judge(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Coverage at 1, 3, 5 and 10; the evidence is ranked once."""
-    evidence, ranked = _evidence(spark, d), durable(e.rank(_facts(spark, d), _evidence(spark, d), 10))
+    evidence = durable(_evidence(spark, d))
+    ranked = durable(e.rank(_facts(spark, d), evidence, 10))
     parts = [e.judge(_required(spark, d), ranked.where(F.col("rank") <= k), evidence).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10)]
     out = parts[0]
     for p in parts[1:]:
