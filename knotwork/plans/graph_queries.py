@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import graph as g
 from knotwork.plans import bindings as b
 from knotwork.plans.bindings import EDGES, HYPEREDGES, VERTICES
+from knotwork.session import durable, table
 
 FEW = "SELECT vertex_id FROM incidence GROUP BY vertex_id ORDER BY count(*) DESC, vertex_id LIMIT 5"
 
@@ -37,28 +38,28 @@ def edge_exists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incident_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     return g.incident_edges(edges, _hubs(edges))
 
 
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     return g.neighbours(edges, _hubs(edges))
 
 
 def hop1_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     seeds = b.vertices(spark, d).where("entity_type = 'SYSTEM'").select("vertex_id")
     return g.reach(edges, seeds, 1)
 
 
 def hop2_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     return g.reach(g.pairwise(edges), _hubs(edges), 2)
 
 
 def edge_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     return g.edge_neighbourhood(edges, edges.where("mentions > 1").orderBy(F.desc("mentions"), "edge_id").limit(3))
 
 
@@ -67,7 +68,7 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def remove_vertex(spark: SparkSession, d: str) -> DataFrame:
-    edges = b.edges(spark, d)
+    edges = durable(b.edges(spark, d))
     return g.remove_vertices(edges, _hubs(edges))
 
 
@@ -110,8 +111,6 @@ def edge_signature_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def rewrite_edges(spark: SparkSession, d: str) -> DataFrame:
     """Raw names to canonical ids by the names and aliases, in lower case."""
-    from knotwork.session import table
-
     entity = table(spark, d, "canonical_entity").select("canonical_id", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("mention"))
     mapping = entity.groupBy("mention").agg(F.min("canonical_id").alias("canonical_id"))
     named = b.hyperedges(spark, d).where(F.size("raw_vertices") > 0).select(F.col("ord").alias("edge_id"), F.array_compact("raw_vertices").alias("vertices"))

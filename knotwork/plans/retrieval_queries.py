@@ -10,7 +10,7 @@ from knotwork.operators import retrieval as r
 from knotwork.operators import vectors as v
 from knotwork.plans import bindings as b
 from knotwork.plans.bindings import HYPEREDGES, VERTICES
-from knotwork.session import table
+from knotwork.session import durable, table
 
 
 def _query(spark: SparkSession, d: str) -> list[float]:
@@ -62,11 +62,11 @@ def entity_context_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_context_edges(spark: SparkSession, d: str) -> DataFrame:
-    return r.edges_of_entities(_hits(spark, d), _edges(spark, d), 400)
+    return r.edges_of_entities(durable(_hits(spark, d)), durable(_edges(spark, d)), 400)
 
 
 def entity_context_units(spark: SparkSession, d: str) -> DataFrame:
-    return r.units_of_entities(_hits(spark, d), _edges(spark, d), _sources(spark, d), _chunks(spark, d), 1600)
+    return r.units_of_entities(durable(_hits(spark, d)), durable(_edges(spark, d)), durable(_sources(spark, d)), _chunks(spark, d), 1600)
 
 
 def relation_context_edges(spark: SparkSession, d: str) -> DataFrame:
