@@ -135,7 +135,7 @@ def pairwise(edges: DataFrame) -> DataFrame:
 def signature_dedupe(edges: DataFrame) -> DataFrame:
     """signature, vertices, relation_type, sources (sorted): edges equal in relation type and vertices merge their sources."""
     signed = edges.withColumn("signature", F.sha1(F.concat_ws("|", F.coalesce("relation_type", F.lit("")), F.array_join("vertices", ","))))
-    return signed.groupBy("signature").agg(F.first("vertices").alias("vertices"), F.first("relation_type").alias("relation_type"), F.array_sort(F.collect_set("source_id")).alias("sources"))
+    return signed.groupBy("signature", "vertices", "relation_type").agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
 
 
 def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ mentions AS (
 
 def hyperedges(spark: SparkSession, d: str) -> DataFrame:
     """The stored hyperedges, each edge_id once, with canonical vertices; the table's edge_id is the mention's number `ord`."""
-    rows = table(spark, d, "rewritten_hyperedge").select(F.col("edge_id").alias("ord"), "vertices", "canonical_vertices", "relation_type", "level_hg", "description", "keywords", "strength", "evidence_span", "source_id", "paper_id").dropDuplicates(["ord"])
+    rows = table(spark, d, "rewritten_hyperedge").select(F.col("edge_id").alias("ord"), "vertices", "canonical_vertices", "relation_type", "level_hg", "description", "keywords", "strength", "evidence_span", "source_id", "paper_id").dropDuplicates(["ord"])  # by the id, so that queries read only the columns they use
     key = edge_key(F.col("canonical_vertices"))
     return rows.withColumns({"raw_vertices": F.col("vertices"), "vertices": key}).where(F.size("vertices") > 0).withColumn("edge_id", edge_id(F.col("vertices"))).drop("canonical_vertices")
 
@@ -43,7 +43,7 @@ hyperedges AS (
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Distinct edges of the hyperedge table: edge_id, vertices, mentions, weight (sum of strengths over ten)."""
-    return hyperedges(spark, d).groupBy("edge_id").agg(F.first("vertices").alias("vertices"), F.count("*").alias("mentions"), F.sum(F.coalesce("strength", F.lit(5))).alias("strength"))
+    return hyperedges(spark, d).groupBy("edge_id", "vertices").agg(F.count("*").alias("mentions"), F.sum(F.coalesce("strength", F.lit(5))).alias("strength"))
 
 
 EDGES = HYPEREDGES + """,

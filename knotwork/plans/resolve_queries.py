@@ -29,7 +29,7 @@ def _relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "alias_match").select(F.col("match_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type").dropDuplicates(["mention_id"])
+    return table(spark, d, "alias_match").select(F.col("match_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type").distinct()
 
 
 def ref_normalize(spark: SparkSession, d: str) -> DataFrame:
