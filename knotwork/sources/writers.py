@@ -4,25 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECRET = re.compile(r"key|token|secret|password|authorization", re.I)
 
 
-def commit_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the target and swap, so readers see the old table or the new one; the target may be an input of `df`."""
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
-    writer.parquet(staging)
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+def _swap(spark: SparkSession, staging: str, path: str) -> None:
+    """Put the staged folder in the target's place; the old one is moved aside first and deleted last."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, f"{path.rstrip('/')}._old-{uuid.uuid4().hex}"))
     fs = target.getFileSystem(conf)
     had = fs.exists(target)
@@ -36,16 +29,21 @@ def commit_table(df: DataFrame, path: str, partition_by: list[str] | None = None
         fs.delete(old, True)
 
 
+def commit_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Write beside the target and swap, so readers see the old table or the new one; the target may be an input of `df`."""
+    staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging)
+    _swap(df.sparkSession, staging, path)
+
+
 def commit_all(frames: dict[str, DataFrame], root: str) -> None:
     """Each frame to its table under the root; all are written before the first is swapped in."""
-    staged = {}
+    staged = {name: f"{root.rstrip('/')}/_staging-{name}-{uuid.uuid4().hex}" for name in frames}
     for name, df in frames.items():
-        staged[name] = f"{root.rstrip('/')}/.{name}-{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(staged[name])
-    spark = next(iter(frames.values())).sparkSession
-    for name, path in staged.items():
-        commit_table(spark.read.parquet(path), f"{root.rstrip('/')}/{name}")
-        shutil.rmtree(path, ignore_errors=True)
+    for name, df in frames.items():
+        _swap(df.sparkSession, staged[name], f"{root.rstrip('/')}/{name}")
 
 
 def jsonl(df: DataFrame, path: str) -> None:
