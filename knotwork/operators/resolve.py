@@ -27,11 +27,16 @@ def registry(entities: DataFrame) -> DataFrame:
 
 
 def exact(mentions: DataFrame, names: DataFrame) -> DataFrame:
-    """mention_id, canonical_id: the registry's entry of the mention's own type, else of the broader type; the first entry wins."""
+    """mention_id, canonical_id: the registry's entry of the mention's own type, else of the broader type; the first entry wins.
+
+    A mention without a type meets the whole registry, types in the order of their names.
+    """
     broader = F.coalesce(*[F.when(F.col("entity_type") == a, b) for a, b in BROADER.items()])
-    asked = mentions.where("name is not null and entity_type is not null").select("mention_id", match_key(F.col("name")).alias("key"), F.posexplode(F.array_compact(F.array("entity_type", broader))).alias("priority", "entity_type"))
-    hits = asked.join(small_side(names.select("key", "entity_type", "canonical_id", "place")), ["key", "entity_type"])
-    return hits.groupBy("mention_id").agg(F.min_by("canonical_id", F.struct("priority", "place")).alias("canonical_id"))
+    keyed = mentions.where("name is not null").select("mention_id", match_key(F.col("name")).alias("key"), F.nullif(F.col("entity_type"), F.lit("")).alias("entity_type"))
+    entries = small_side(names.select("key", "entity_type", "canonical_id", "place"))
+    typed = keyed.where("entity_type is not null").select("mention_id", "key", F.posexplode(F.array_compact(F.array("entity_type", broader))).alias("priority", "entity_type")).join(entries, ["key", "entity_type"])
+    open_type = keyed.where("entity_type is null").select("mention_id", "key", F.lit(len(BROADER)).alias("priority")).join(entries, "key")
+    return typed.unionByName(open_type).groupBy("mention_id").agg(F.min_by("canonical_id", F.struct("priority", "entity_type", "place")).alias("canonical_id"))
 
 
 def lcs(a: str, b: str) -> int:
@@ -77,7 +82,7 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def fuzzy(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
-    """name, entity_type, rank, canonical_id, score, ratio, token_set, length_ratio: the k best entries of the type for each distinct mention.
+    """name, entity_type, rank, canonical_id, score, ratio, token_set, length_ratio: the k best entries of the type or the broader one for each distinct mention, of the whole registry for one without a type.
 
     The registry is held in each task; more than REGISTRY_ROWS names are refused, and the sharded search by edit
     distance is the way for longer lists.
@@ -89,13 +94,15 @@ def fuzzy(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     by_type: dict[str, list] = {}
     for r in rows:
         by_type.setdefault(r[0], []).append((r[1], r[2], r[3].lower()))
+    whole = [entry for held in by_type.values() for entry in held]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, kind in batch.itertuples(index=False, name=None):
                 low, best = name.lower(), {}
-                first = [(max(p := ratio(low, entry), t := token_set_ratio(low, entry)), p, t, canonical_id, place, entry) for canonical_id, place, entry in by_type.get(kind, ())]
+                asked = [*by_type.get(kind, ()), *by_type.get(BROADER.get(kind), ())] if kind else whole
+                first = [(max(p := ratio(low, entry), t := token_set_ratio(low, entry)), p, t, canonical_id, place, entry) for canonical_id, place, entry in asked]
                 for least, plain, tokens, canonical_id, place, entry in sorted(first, key=lambda x: (-x[0], x[4])):
                     held = sorted((v[0] for v in best.values()), reverse=True)
                     shorter, common = min(len(low), len(entry)), plain * (len(low) + len(entry)) / 200
@@ -109,7 +116,7 @@ def fuzzy(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
                 out += [(name, kind, i, c, v[0], v[2], v[3], v[4]) for i, (c, v) in enumerate(top)]
             yield pd.DataFrame(out, columns=["name", "entity_type", "rank", "canonical_id", "score", "ratio", "token_set", "length_ratio"])
 
-    return mentions.where("name is not null and entity_type is not null").select("name", "entity_type").distinct().repartition(2 * entities.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "name string, entity_type string, rank int, canonical_id string, score double, ratio double, token_set double, length_ratio double")
+    return mentions.where("name is not null").select("name", "entity_type").distinct().repartition(2 * entities.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "name string, entity_type string, rank int, canonical_id string, score double, ratio double, token_set double, length_ratio double")
 
 
 def blocked(pairs: DataFrame, names: DataFrame, generic: list[str]) -> DataFrame:
@@ -138,10 +145,10 @@ def cascade(mentions: DataFrame, entities: DataFrame, generic: list[str], auto:
     found = exact(mentions, names)
     open_rows = mentions.join(found, "mention_id", "left_anti").where("name is not null")
     top = fuzzy(open_rows, entities, 1).where("rank = 0").drop("rank")
-    ruled = top.join(blocked(top.select("name", "canonical_id"), names, generic), ["name", "canonical_id"])
+    ruled = top.join(blocked(top.select("name", "canonical_id"), names, generic), ["name", "canonical_id"]).withColumnsRenamed({"name": "asked", "entity_type": "asked_type"})
     free = (F.col("score") >= auto) & (F.col("ratio") >= 97) & (F.col("token_set") >= 95) & (F.col("length_ratio") >= 0.75) & ~F.col("name").rlike("[0-9]")
     decision = F.when(F.col("score").isNull() | (F.col("score") < review), "CREATE_NEW").when(F.col("reason").isNotNull(), "NEED_REVIEW").when(free, "MERGE").otherwise("NEED_REVIEW")
-    judged = mentions.join(found, "mention_id", "left").withColumnRenamed("canonical_id", "exact_id").join(ruled, ["name", "entity_type"], "left").withColumn("decision", F.when(F.col("exact_id").isNotNull(), "MERGE").otherwise(decision))
+    judged = mentions.join(found, "mention_id", "left").withColumnRenamed("canonical_id", "exact_id").join(ruled, (F.col("name") == F.col("asked")) & F.col("entity_type").eqNullSafe(F.col("asked_type")), "left").withColumn("decision", F.when(F.col("exact_id").isNotNull(), "MERGE").otherwise(decision))
     fuzzy_id = F.when(F.col("decision") != "CREATE_NEW", F.col("canonical_id"))
     method = F.when(F.col("exact_id").isNotNull(), "exact_alias_match").when(F.col("decision") == "MERGE", "fuzzy_auto_match").when(F.col("decision") == "NEED_REVIEW", F.coalesce("reason", F.lit("fuzzy_review"))).otherwise("new")
     confidence = F.when(F.col("exact_id").isNotNull(), 1.0).when(F.col("decision") == "MERGE", F.round(F.least("ratio", "token_set") / 100, 4)).otherwise(0.0)

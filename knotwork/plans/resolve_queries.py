@@ -32,6 +32,10 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "alias_match").select(F.col("match_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type").distinct()
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).where("entity_type is not null")
+
+
 def ref_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _mentions(spark, d).select("mention_id", x.edge_reference(F.col("name")).alias("ref"), x.bare_reference(F.col("name")).alias("bare"))
 
@@ -78,6 +82,11 @@ def validate_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions with a type, as the SQL has it; those without one are in exact_alias_all."""
+    return s.exact(_typed(spark, d), s.registry(_entities(spark, d)))
+
+
+def exact_alias_all(spark: SparkSession, d: str) -> DataFrame:
     return s.exact(_mentions(spark, d), s.registry(_entities(spark, d)))
 
 
@@ -88,7 +97,7 @@ def fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
 def negative_rules(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct mention against the entry its row names by exact alias, and against that entry's family."""
     names = s.registry(_entities(spark, d))
-    hit = _mentions(spark, d).join(s.exact(_mentions(spark, d), names), "mention_id").select("name", "canonical_id").distinct()
+    hit = _mentions(spark, d).join(s.exact(_typed(spark, d), names), "mention_id").select("name", "canonical_id").distinct()
     family = names.select("canonical_id", "parent_id").distinct()
     pairs = hit.join(family, "canonical_id").where("parent_id is not null").join(family.select(F.col("canonical_id").alias("other"), "parent_id"), "parent_id").select("name", F.col("other").alias("canonical_id"))
     return s.blocked(pairs, names, GENERIC)
@@ -102,17 +111,33 @@ def norm_report(spark: SparkSession, d: str) -> DataFrame:
     return resolve_cascade(spark, d).groupBy("decision", "method").agg(F.count("*").alias("n"), F.count_distinct("canonical_id").alias("entities"))
 
 
+def _merged(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    hit = found.groupBy("canonical_id").agg(F.count("*").alias("n"))
+    return hit.join(_entities(spark, d).select("canonical_id", "entity_type"), "canonical_id").groupBy("entity_type").agg(F.sum(F.col("n") - 1).alias("merged"), F.sum("n").alias("mentions"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 4).alias("ratio"))
+
+
+def _by_node(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    rows = _mentions(spark, d).join(found, "mention_id")
+    first = rows.groupBy("canonical_id", "name").agg(F.min("mention_id").alias("at"))
+    return first.groupBy("canonical_id").agg(F.min_by("name", "at").alias("base"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda v: v["name"]), " | ").alias("spellings"))
+
+
 def merge_report(spark: SparkSession, d: str) -> DataFrame:
     """By type: mentions merged away (mentions less entities) by the exact aliases."""
-    hit = exact_alias(spark, d).groupBy("canonical_id").agg(F.count("*").alias("n"))
-    return hit.join(_entities(spark, d).select("canonical_id", "entity_type"), "canonical_id").groupBy("entity_type").agg(F.sum(F.col("n") - 1).alias("merged"), F.sum("n").alias("mentions"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 4).alias("ratio"))
+    return _merged(spark, d, exact_alias(spark, d))
+
+
+def merge_report_all(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d, exact_alias_all(spark, d))
 
 
 def group_by_node(spark: SparkSession, d: str) -> DataFrame:
     """Mentions by the entity they resolve to: first spelling, distinct spellings in order of appearance."""
-    rows = _mentions(spark, d).join(exact_alias(spark, d), "mention_id")
-    first = rows.groupBy("canonical_id", "name").agg(F.min("mention_id").alias("at"))
-    return first.groupBy("canonical_id").agg(F.min_by("name", "at").alias("base"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda v: v["name"]), " | ").alias("spellings"))
+    return _by_node(spark, d, exact_alias(spark, d))
+
+
+def group_by_node_all(spark: SparkSession, d: str) -> DataFrame:
+    return _by_node(spark, d, exact_alias_all(spark, d))
 
 
 def unit_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +192,7 @@ def norm_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return judged.select(node.alias("node_id"), "decision").where("node_id is not null").groupBy("node_id").agg(F.count("*").alias("mentions"), F.count_if(F.col("decision") == "NEED_REVIEW").alias("in_review"))
 
 
-QUERIES = {f.__name__: f for f in (ref_normalize, ref_lookup, rel_filter_low, rel_filter_high, efu_repair, unknown_summary, top_unknown, validate_entities, validate_relations, validate_batch, exact_alias, fuzzy_topk, negative_rules, resolve_cascade, norm_report, merge_report, group_by_node, unit_parse, multi_value_explode, metric_detect, condition_detect, instance_ids, collapse_instances, new_entity_ids, semantic_groups, equivalence_chase, norm_pipeline)}
+QUERIES = {f.__name__: f for f in (ref_normalize, ref_lookup, rel_filter_low, rel_filter_high, efu_repair, unknown_summary, top_unknown, validate_entities, validate_relations, validate_batch, exact_alias, exact_alias_all, fuzzy_topk, negative_rules, resolve_cascade, norm_report, merge_report, merge_report_all, group_by_node, group_by_node_all, unit_parse, multi_value_explode, metric_detect, condition_detect, instance_ids, collapse_instances, new_entity_ids, semantic_groups, equivalence_chase, norm_pipeline)}
 
 _M = "m AS (SELECT DISTINCT match_id AS mention_id, canonical_name AS name, entity_type FROM alias_match)"
 _REF = "regexp_replace(replace(lower(translate({}, '⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉⁺⁻₊₋', '01234567890123456789+-+-')), '[u+208d]', 'd'), '[\\s_–—−-]', '', 'g')"
