@@ -1,8 +1,8 @@
 """Text statistics of every document, exact ranks within each language, and outlier scores from their tail probabilities.
 
 Statistics are computed over whole texts. Each (language, statistic) is ranked by a range-partitioned sort with
-partition offsets; the empirical tail probabilities are summed as logarithms into outlier scores. A document that
-stands out enough is then classed by what most of its text is.
+partition offsets; the empirical tail probabilities are summed as logarithms into outlier scores. A document's class
+is what most of its text is, however many documents are like it; the score is reported beside it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ STATS = ["n_words", "word_len", "symbol_share", "digit_share", "stop_lines", "co
 LOW, HIGH = "low", "high"
 # Fixed choice: the tail of each statistic in which texts stop looking like prose.
 TAILS = {"word_len": (LOW, HIGH), "symbol_share": (HIGH,), "digit_share": (HIGH,), "stop_lines": (LOW,), "common_share": (LOW, HIGH), "distinct_share": (LOW,), "item_share": (HIGH,), "cell_share": (HIGH,), "noise_share": (HIGH,)}
-OUTLIER = 2.0  # a score from which a document may be other than prose: e^-2 of its language's documents reach one such tail by chance
-FEW = 50  # with fewer documents of its language, ranks cannot tell what is usual and do not hold a document back
 EVERY = frozenset().union(*SETS.values())
 _ITEM = re.compile(r"^(?:[-*+•‣·▪◦●○■□–—>]|\d{1,3}[.)]|\(\d{1,3}\)|\[\d{1,3}\]|\[[ xX✓✔]?\]|[☐☑☒✓✔]|[a-zA-Z][.)]|\([a-z]\)|[ivx]{1,4}[.)])\s+")
 _LEADER = re.compile(r"(?:\.{3,}|…|(?:\s\.){3,}|_{3,}|\t)\s*\d+(?:[,\s-]+\d+)*$|,\s*\d{1,4}(?:[,–-]\s*\d{1,4})*$")
@@ -250,13 +248,12 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     return stats.join(scores, "doc_id").join(peers, "lang")
 
 
-def classify(documents: DataFrame, outlier: float = OUTLIER) -> DataFrame:
+def classify(documents: DataFrame) -> DataFrame:
     """doc_id, the statistics, lang, score, peak and doc_class (prose, list, table, junk).
 
     Ties share their ranks; an empty table gives no rows; very long texts are read whole.
     """
     scored = outlier_scores(durable(statistics(documents)))
-    stands_out = (F.col("score") >= outlier) | (F.col("peers") < FEW)
     kind = F.when(F.col("noise_share") > 0.5, "junk").when((F.col("cell_share") > 0.5) & (F.col("cell_share") >= F.col("item_share")), "table").when(F.col("item_share") > 0.5, "list").when(F.col("cell_share") + F.col("item_share") + F.col("noise_share") > 0.6, F.when((F.col("cell_share") >= F.col("item_share")) & (F.col("cell_share") >= F.col("noise_share")), "table").when(F.col("item_share") >= F.col("noise_share"), "list").otherwise("junk"))
-    # The share of a text that decides its class is exact; the outlier score keeps what is usual in its language out.
-    return scored.withColumn("doc_class", F.when(stands_out & kind.isNotNull(), kind).otherwise("prose"))
+    # The shares are exact; a score would let copies of a text decide, as they raise its tail probabilities.
+    return scored.withColumn("doc_class", F.coalesce(kind, F.lit("prose")))

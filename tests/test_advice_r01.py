@@ -1,5 +1,6 @@
 """What the first round's advice found missing: each test fails on the code before."""
 
+from knotwork.llm.quality import classify
 from knotwork.operators import resolve
 
 MENTION = "mention_id bigint, name string, entity_type string"
@@ -14,3 +15,13 @@ def test_untyped_mentions_meet_the_whole_registry(spark):
     rows = [(1, "N-117", None), (2, "alpha flow batery", None), (3, "CE", None), (4, "zzz", None), (5, "coulombic eficiency", "PERFORMANCE_METRIC"), (6, None, None), (7, "N-117", "")]
     got = {r.mention_id: (r.decision, r.canonical_id) for r in resolve.cascade(spark.createDataFrame(rows, MENTION), _registry(spark), []).collect()}
     assert got == {1: ("MERGE", "mem:n117"), 2: ("MERGE", "sys:a"), 3: ("MERGE", "cond:ce"), 4: ("CREATE_NEW", None), 5: ("MERGE", "metric:ce"), 6: ("CREATE_NEW", None), 7: ("MERGE", "mem:n117")}
+
+
+def test_copies_of_a_table_stay_a_table(spark):
+    table = "\n".join(f"{i} | {i * 7}.5 | {i * 3}" for i in range(1, 9))
+    schema = "doc_id bigint, text string, lang string"
+    for n in (1, 49, 60, 200):
+        rows = [(i, table, None) for i in range(n)] + [(1000 + i, "The pump was stopped after the second run, and the level in both tanks was read twice. It is not clear why the level fell. " * (1 + i % 3), "en") for i in range(2 * n)]
+        got = {r.doc_id: r.doc_class for r in classify(spark.createDataFrame(rows, schema)).collect()}
+        assert {k: v for k, v in got.items() if k < 1000} == {i: "table" for i in range(n)}
+        assert {v for k, v in got.items() if k >= 1000} == {"prose"}
