@@ -68,6 +68,7 @@ class Quantiser:
     first: dict[str, int]  # number of a namespace's first cell
     books: np.ndarray  # (parts, 16, PART)
     eta: float
+    exact: frozenset[int] = frozenset()  # cells whose vectors are compared one by one
 
     def encode(self, x: np.ndarray, rest: np.ndarray, rounds: int = 1) -> np.ndarray:
         """Codes of what the centres leave, by coordinate descent on |r|^2 + (eta - 1) (r.x)^2."""
@@ -111,12 +112,19 @@ class Quantiser:
 
 
 def fit(names: np.ndarray, x: np.ndarray, rows: dict[str, int], dim: int, seed: int = 5) -> Quantiser:
-    """Centres for each namespace and shared codebooks, from the sample; `rows` are the namespaces' sizes."""
+    """Centres for each namespace and shared codebooks, from the sample; `rows` are the namespaces' sizes.
+
+    A namespace that needs no second cell, or that the sample holds nothing of, is one cell that is compared exactly.
+    """
     rng = np.random.default_rng(seed)
-    centres, first, at, rest = {}, {}, 0, np.zeros_like(x)
+    centres, first, at, rest, whole = {}, {}, 0, np.zeros_like(x), set()
     for name in sorted(rows):
         mine = np.flatnonzero(names == name)
+        if not len(mine) or rows[name] < 2 * CELL:
+            whole.add(at)
         if not len(mine):
+            centres[name], first[name] = np.zeros((1, dim), np.float32), at
+            at += 1
             continue
         k = int(np.clip(rows[name] // CELL, 1, max(1, len(mine) // 8)))
         centres[name], first[name] = _centres(x[mine], k, rng), at
@@ -127,7 +135,7 @@ def fit(names: np.ndarray, x: np.ndarray, rows: dict[str, int], dim: int, seed:
     parts = dim // PART
     books = np.stack([rest[rng.choice(len(rest), 16, replace=len(rest) < 16), m * PART : (m + 1) * PART] for m in range(parts)]).astype(np.float32) if len(x) else np.zeros((parts, 16, PART), np.float32)
     eta = max(1.0, (dim - 1) * T * T / (1 - T * T))
-    out = Quantiser(centres, first, books, eta)
+    out = Quantiser(centres, first, books, eta, frozenset(whole))
     if len(x):
         out.fit_books(x, rest)
         out.books = out.books.astype(np.float32)
@@ -150,7 +158,8 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
 
     vectors: vec_id, namespace, embedding. Rows without a usable vector (null, wrong length, not finite, all zero) and
     null ids or namespaces are left out; redelivered ids count once; ties go to the smaller id; with `least`, only
-    neighbours that similar are given. Every vector is indexed and every vector is a query; what is approximate is
+    neighbours that similar are given. Every vector is indexed and every vector is a query; namespaces of less than
+    two cells' rows, or without a row in the fitting sample, are compared exactly; in others what is approximate is
     which cells a query looks into and which candidates of a cell are reranked. Crowded cells are split into blocks of
     vectors, which each of their queries meets.
     """
@@ -164,8 +173,8 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
     sample = source.where(part < share).select("namespace", "embedding").toArrow()
     x, keep = usable(sample.column("embedding"), dim)
     names = np.array(sample.column("namespace").to_pylist(), dtype=object)[keep]
-    model = spark.sparkContext.broadcast(fit(names, x, sizes, dim))  # at most SAMPLE / 8 centres of 4 * dim bytes
-    if not len(x):
+    model = spark.sparkContext.broadcast(fit(names, x, sizes, dim))  # at most SAMPLE / 8 centres and one a namespace, of 4 * dim bytes
+    if not sizes:
         return spark.createDataFrame([], "query bigint, other bigint, similarity double")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +184,6 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
             ids = batch.column(0).to_numpy(zero_copy_only=False)[keep]
             spaces = np.array(batch.column(1).to_pylist(), dtype=object)[keep]
             for name in set(spaces):
-                if name not in quantiser.centres:
-                    continue
                 at = np.flatnonzero(spaces == name)
                 v, centres = x[at], quantiser.centres[name]
                 close = v @ centres.T
@@ -215,13 +222,18 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
             codes[:, ::2], codes[:, 1::2] = tight >> 4, tight & 15
             vectors_, base_ids = everything[base], ids[base]
             q_all, q_ids = everything, ids  # a cell's own vectors ask it too
-            centre = centre_of[table.column("cell")[0].as_py()]
+            cell = table.column("cell")[0].as_py()
+            centre = centre_of[cell]
             wide = min(RERANK + k, len(base_ids))
             for low in range(0, len(q_ids), 256):
                 q, own = q_all[low : low + 256], q_ids[low : low + 256]
-                score = _scan(quantiser.books, codes, q, centre)
-                cand = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
-                exact = np.einsum("qd,qcd->qc", q.astype(np.float64), vectors_[cand].astype(np.float64), optimize=False)
+                if cell in quantiser.exact:
+                    cand = np.broadcast_to(np.arange(len(base_ids)), (len(q), len(base_ids)))
+                    exact = np.einsum("qd,cd->qc", q.astype(np.float64), vectors_.astype(np.float64), optimize=False)
+                else:
+                    score = _scan(quantiser.books, codes, q, centre)
+                    cand = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+                    exact = np.einsum("qd,qcd->qc", q.astype(np.float64), vectors_[cand].astype(np.float64), optimize=False)
                 exact[base_ids[cand] == own[:, None]] = -2.0
                 order = np.lexsort((base_ids[cand], -exact), axis=1)[:, :k]
                 s = np.take_along_axis(exact, order, axis=1)
@@ -241,6 +253,10 @@ def _crowded(model: Quantiser, names: np.ndarray, x: np.ndarray, sizes: dict[str
     """Whether the sample says that a cell holds more than a block."""
     for name, centres in model.centres.items():
         mine = x[names == name]
+        if not len(mine):
+            if sizes[name] > BLOCK * 0.75:
+                return True
+            continue
         share = np.bincount((mine @ centres.T).argmax(axis=1), minlength=len(centres)).max() / len(mine)
         if share * sizes[name] > BLOCK * 0.75:
             return True
@@ -250,7 +266,7 @@ def _crowded(model: Quantiser, names: np.ndarray, x: np.ndarray, sizes: dict[str
 def _blocks(rows: DataFrame) -> DataFrame:
     """Split cells of more than BLOCK vectors: each vector is in one block of its cell, each query asks every block."""
     sizes = rows.where("codes is not null").groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks"))
-    joined = rows.join(F.broadcast(sizes), "cell")  # one row a cell: at most SAMPLE / 8
+    joined = rows.join(F.broadcast(sizes), "cell")  # one row a cell: at most SAMPLE / 8 and one a namespace
     mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("n_blocks")).cast("int")
     base = joined.where("codes is not null").select("cell", "id", "v", "codes", mine.alias("block"))
     other = F.sequence(F.lit(0), F.col("n_blocks") - 1)

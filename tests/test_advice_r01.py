@@ -1,5 +1,8 @@
 """What the first round's advice found missing: each test fails on the code before."""
 
+import numpy as np
+
+from knotwork.llm import neighbours
 from knotwork.llm.quality import classify
 from knotwork.operators import resolve
 
@@ -25,3 +28,20 @@ def test_copies_of_a_table_stay_a_table(spark):
         got = {r.doc_id: r.doc_class for r in classify(spark.createDataFrame(rows, schema)).collect()}
         assert {k: v for k, v in got.items() if k < 1000} == {i: "table" for i in range(n)}
         assert {v for k, v in got.items() if k >= 1000} == {"prose"}
+
+
+def test_namespaces_without_a_sample_are_searched(spark, monkeypatch):
+    points = np.random.default_rng(3).normal(size=(1_300, 96))
+    rows = [(i, "large" if i < 1_000 else f"small {i // 10}", p.tolist()) for i, p in enumerate(points)]
+    fit = neighbours.fit
+    # The sample of a table so large that it holds no row of the small namespaces, then one with no usable row at all.
+    for kept in ("large", "none"):
+        monkeypatch.setattr(neighbours, "fit", lambda names, x, sizes, dim: fit(names[names == kept], x[names == kept], sizes, dim))
+        got = {}
+        for r in neighbours.most_similar(spark.createDataFrame(rows, "vec_id bigint, namespace string, embedding array<float>"), 3).collect():
+            got.setdefault(r.query, set()).add(r.other)
+        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+        assert set(got) == set(range(1_300))
+        for i in range(1_000, 1_300):
+            mates = [j for j in range(i // 10 * 10, i // 10 * 10 + 10) if j != i]
+            assert got[i] == set(sorted(mates, key=lambda j: -unit[i] @ unit[j])[:3])
