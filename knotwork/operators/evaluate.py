@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.text import compact, normalise, terms
 from knotwork.session import durable
 
-FACTS = 5_000  # gold facts that one pass may rank for
+FACTS = 5_000  # gold facts that one pass ranks for
 # Words of a claim and the relation they speak for.
 BONUS = [(["achieved", "reached", "current density", " at "], "OPERATION_PERFORMANCE"), (["compared", "lower than", "higher than", "versus"], "COMPARISON"), (["due to", "attributed to", "caused by", "mechanism"], "DEGRADATION_CHAIN|MECHANISM_EVIDENCE"), (["prepared", "modified", "iec", "sulfonation"], "COMPOSITION")]
 LABELS = {"SUPPORTED": 3, "PARTIALLY_SUPPORTED": 2, "UNSUPPORTED": 1}
@@ -55,22 +55,30 @@ def score(hybrid: bool = True) -> Column:
 def rank(facts: DataFrame, evidence: DataFrame, k: int, hybrid: bool = True) -> DataFrame:
     """fact_id, evidence_id, score, rank: the k best evidence rows of each fact, those with a score over 0 only after the cut.
 
-    The facts are a stated set (at most FACTS rows, checked): every evidence row meets them in its own task, and only
-    each task's k best of a fact are shuffled. facts: fact_id, claim.
+    The facts are ranked in blocks of about FACTS rows by their ids' hash: every evidence row meets a block in its own
+    task, and only each task's k best of a fact are shuffled. facts: fact_id, claim.
     """
-    said = facts.select("fact_id", normalise(F.col("claim")).alias("claim_norm"), compact(F.col("claim")).alias("claim_compact"), terms(F.col("claim")).alias("claim_terms"), wanted_relation(F.col("claim")).alias("claim_relation")).limit(FACTS + 1).collect()
-    if len(said) > FACTS:
-        raise ValueError(f"more than {FACTS} facts; rank them in parts")
-    spark = evidence.sparkSession
-    schema = "fact_id bigint, claim_norm string, claim_compact string, claim_terms array<string>, claim_relation string"
-    listed = F.broadcast(spark.createDataFrame(said, schema).withColumn("one", F.lit(1)))
+    said = facts.select("fact_id", normalise(F.col("claim")).alias("claim_norm"), compact(F.col("claim")).alias("claim_compact"), terms(F.col("claim")).alias("claim_terms"), wanted_relation(F.col("claim")).alias("claim_relation"))
+    blocks = -(-facts.count() // FACTS)
+    if blocks > 1:
+        said = durable(said.withColumn("block", F.pmod(F.xxhash64("fact_id"), F.lit(blocks))))
     # Spread by rows, as the work is in the expressions and not in the bytes; materialised before the facts multiply
     # the rows, as the optimiser would move the preparation behind the join.
     ready = durable(prepare(evidence.repartition(2 * evidence.sparkSession.sparkContext.defaultParallelism)).drop("text"))
-    pairs = ready.withColumn("one", F.lit(1)).join(listed, "one")
-    scored = pairs.select("fact_id", "evidence_id", F.round(score(hybrid), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("score"), "evidence_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).where("score > 0")
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = ready.withColumn("one", F.lit(1)).join(F.broadcast(block.withColumn("one", F.lit(1))), "one")
+        scored = pairs.select("fact_id", "evidence_id", F.round(score(hybrid), 6).alias("score"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= k).where("score > 0")
+
+    if blocks <= 1:
+        return best(said)
+    out = None
+    for i in range(blocks):
+        part = durable(best(said.where(F.col("block") == i).drop("block")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def judge(required: DataFrame, ranked: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -21,8 +21,12 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return b.hyperedges(spark, d).where("description is not null").orderBy(F.md5(F.col("ord").cast("string"))).limit(20).select(F.col("ord").alias("fact_id"), F.col("description").alias("claim"), "vertices")
 
 
-def _required(spark: SparkSession, d: str) -> DataFrame:
-    rows = _facts(spark, d).select("fact_id", F.explode("vertices").alias("element"))
+def _all_facts(spark: SparkSession, d: str) -> DataFrame:
+    return b.hyperedges(spark, d).where("description is not null").select(F.col("ord").alias("fact_id"), F.col("description").alias("claim"), "vertices")
+
+
+def _required(facts: DataFrame) -> DataFrame:
+    rows = facts.select("fact_id", F.explode("vertices").alias("element"))
     kind = F.when(F.startswith("element", F.lit("condition:")), "conditions").when(F.startswith("element", F.lit("metric:")), "measurements").when(F.startswith("element", F.lit("degradation:")), "mechanisms").otherwise("entities")
     return rows.select("fact_id", kind.alias("kind"), "element")
 
@@ -35,32 +39,63 @@ def evidence_rank(spark: SparkSession, d: str) -> DataFrame:
     return e.rank(_facts(spark, d), _evidence(spark, d), 10)
 
 
+def evidence_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every hyperedge with a description as a fact; the twenty of evidence_rank are those of its SQL."""
+    return e.rank(_all_facts(spark, d), _evidence(spark, d), 10)
+
+
 def evidence_rank_plain(spark: SparkSession, d: str) -> DataFrame:
     return e.rank(_facts(spark, d), _evidence(spark, d), 5, hybrid=False)
 
 
-def fact_judge(spark: SparkSession, d: str) -> DataFrame:
-    evidence = _evidence(spark, d)
-    return e.judge(_required(spark, d), e.rank(_facts(spark, d), evidence, 10), evidence).select("fact_id", "label", "support", "integrity", F.array_join("missing", "|").alias("missing"))
+def _judged(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    return e.judge(_required(facts), e.rank(facts, evidence, 10), evidence).select("fact_id", "label", "support", "integrity", F.array_join("missing", "|").alias("missing"))
 
 
-def coverage_at_k(spark: SparkSession, d: str) -> DataFrame:
+def _covered(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Coverage at 1, 3, 5 and 10; the evidence is ranked once."""
-    evidence = durable(_evidence(spark, d))
-    ranked = durable(e.rank(_facts(spark, d), evidence, 10))
-    parts = [e.judge(_required(spark, d), ranked.where(F.col("rank") <= k), evidence).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10)]
+    evidence = durable(evidence)
+    ranked = durable(e.rank(facts, evidence, 10))
+    parts = [e.judge(_required(facts), ranked.where(F.col("rank") <= k), evidence).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return e.rollup(out, ["k"])
 
 
-def missing_counts(spark: SparkSession, d: str) -> DataFrame:
-    evidence = _evidence(spark, d)
-    judged = e.judge(_required(spark, d), e.rank(_facts(spark, d), evidence, 3), evidence)
+def _missed(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    judged = e.judge(_required(facts), e.rank(facts, evidence, 3), evidence)
     return judged.select(F.explode("missing").alias("element")).groupBy("element").agg(F.count("*").alias("n"))
 
 
+def evidence_rank_plain_all(spark: SparkSession, d: str) -> DataFrame:
+    return e.rank(_all_facts(spark, d), _evidence(spark, d), 5, hybrid=False)
+
+
+def fact_judge(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(_facts(spark, d), _evidence(spark, d))
+
+
+def fact_judge_all(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(_all_facts(spark, d), _evidence(spark, d))
+
+
+def coverage_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _covered(_facts(spark, d), _evidence(spark, d))
+
+
+def coverage_at_k_all(spark: SparkSession, d: str) -> DataFrame:
+    return _covered(_all_facts(spark, d), _evidence(spark, d))
+
+
+def missing_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _missed(_facts(spark, d), _evidence(spark, d))
+
+
+def missing_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _missed(_all_facts(spark, d), _evidence(spark, d))
+
+
 def _judgements(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "evaluate_qa_answers").select("answer_id", "mode", "question_id", "per_model_judgments").dropDuplicates(["answer_id"])
     each = rows.select("answer_id", "mode", "question_id", F.posexplode("per_model_judgments").alias("pos", "j")).select("answer_id", "mode", "question_id", "pos", F.lower(F.trim("j.judge_name")).alias("judge"), F.col("j.factual_correctness").alias("score"), F.col("j.overall_score").alias("overall"))
@@ -121,7 +156,7 @@ def expected_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("quantity_id", F.coalesce(kind, F.concat_ws("_", F.concat(F.lit("condition:"), "quantity_type"), number_slug(F.col("value")), unit_slug(F.col("unit")))).alias("expected_id"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_views, evidence_rank, evidence_rank_plain, fact_judge, coverage_at_k, missing_counts, judge_majority, judge_spread, qa_rollup, score_mean, win_rate, zip_answers, flat_report, expected_ids)}
+QUERIES = {f.__name__: f for f in (evidence_views, evidence_rank, evidence_rank_all, evidence_rank_plain, evidence_rank_plain_all, fact_judge, fact_judge_all, coverage_at_k, coverage_at_k_all, missing_counts, missing_counts_all, judge_majority, judge_spread, qa_rollup, score_mean, win_rate, zip_answers, flat_report, expected_ids)}
 
 _TERMS = f"list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(description, '([a-zA-Z][a-zA-Z0-9.+/-]*|[0-9]+(?:\\.[0-9]+)?)', 1), lambda w: length(w) > 1), lambda w: {_NORMAL.format('w')}), lambda w: w <> '' AND w NOT IN ({_TERM_STOP}))))"
 _REL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(cn, '{w}')" for w in words) + f" THEN '{kind}'" for words, kind in e.BONUS) + " ELSE '' END"

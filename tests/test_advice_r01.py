@@ -4,7 +4,8 @@ import numpy as np
 
 from knotwork.llm import neighbours
 from knotwork.llm.quality import classify
-from knotwork.operators import resolve
+from knotwork.operators import evaluate, resolve
+from knotwork.plans import bindings, evaluation_queries
 
 MENTION = "mention_id bigint, name string, entity_type string"
 
@@ -45,3 +46,17 @@ def test_namespaces_without_a_sample_are_searched(spark, monkeypatch):
         for i in range(1_000, 1_300):
             mates = [j for j in range(i // 10 * 10, i // 10 * 10 + 10) if j != i]
             assert got[i] == set(sorted(mates, key=lambda j: -unit[i] @ unit[j])[:3])
+
+
+def test_facts_are_ranked_in_blocks(spark, data, monkeypatch):
+    rows = [(i, f"claim {i} of cell {i % 7}", [f"metric:m{i % 5}", f"system:s{i % 3}"], "COMPARISON") for i in range(40)]
+    edges = spark.createDataFrame(rows, "ord bigint, description string, vertices array<string>, relation_type string")
+    facts, evidence = edges.selectExpr("ord fact_id", "description claim"), evaluate.evidence_text(edges)
+    whole = sorted(map(tuple, evaluate.rank(facts, evidence, 3).collect()))
+    monkeypatch.setattr(evaluate, "FACTS", 7)
+    assert sorted(map(tuple, evaluate.rank(facts, evidence, 3).collect())) == whole and len({r[0] for r in whole}) == 40
+
+
+def test_every_described_edge_is_a_fact(spark, data):
+    described = bindings.hyperedges(spark, data).where("description is not null").count()
+    assert evaluation_queries.evidence_rank_all(spark, data).select("fact_id").distinct().count() == described > 20
