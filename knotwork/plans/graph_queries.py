@@ -54,10 +54,16 @@ def hop1_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hop2_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops over edges of two vertices, as the SQL has it; hop2_subgraph_all takes all edges."""
     edges = durable(b.edges(spark, d))
     return g.reach(g.pairwise(edges), _hubs(edges), 2)
 
 
+def hop2_subgraph_all(spark: SparkSession, d: str) -> DataFrame:
+    edges = durable(b.edges(spark, d))
+    return g.reach(edges, _hubs(edges), 2)
+
+
 def edge_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     edges = durable(b.edges(spark, d))
     return g.edge_neighbourhood(edges, edges.where("mentions > 1").orderBy(F.desc("mentions"), "edge_id").limit(3))
@@ -136,7 +142,7 @@ def vertex_edges_by_type(spark: SparkSession, d: str) -> DataFrame:
     return b.vertices(spark, d).join(inc, "vertex_id", "left").groupBy("entity_type").agg(F.count_distinct("vertex_id").alias("vertices"), F.count("edge_id").alias("incidences"), F.coalesce(F.sum("strength"), F.lit(0)).alias("strength"))
 
 
-QUERIES = {f.__name__: f for f in (vertex_degree, edge_encode, edge_arity, edge_exists, incident_edges, neighbors, hop1_subgraph, hop2_subgraph, edge_neighbourhood, induced_subgraph, remove_vertex, remove_edge, update_vertex, upsert_vertex, frequent_vertices, edge_page, clique_expand, pairwise_edges, edge_signature_dedupe, rewrite_edges, implicit_vertices, graph_stats, whole_graph_detail, vertex_edges_by_type)}
+QUERIES = {f.__name__: f for f in (vertex_degree, edge_encode, edge_arity, edge_exists, incident_edges, neighbors, hop1_subgraph, hop2_subgraph, hop2_subgraph_all, edge_neighbourhood, induced_subgraph, remove_vertex, remove_edge, update_vertex, upsert_vertex, frequent_vertices, edge_page, clique_expand, pairwise_edges, edge_signature_dedupe, rewrite_edges, implicit_vertices, graph_stats, whole_graph_detail, vertex_edges_by_type)}
 
 ORACLES = {
     "vertex_degree": f"WITH {EDGES}, {VERTICES} SELECT v.vertex_id, count(i.edge_id) AS degree FROM vertices v LEFT JOIN incidence i USING (vertex_id) GROUP BY v.vertex_id",

@@ -5,7 +5,7 @@ import numpy as np
 from knotwork.llm import neighbours
 from knotwork.llm.quality import classify
 from knotwork.operators import evaluate, resolve
-from knotwork.plans import bindings, evaluation_queries
+from knotwork.plans import bindings, evaluation_queries, graph_queries
 
 MENTION = "mention_id bigint, name string, entity_type string"
 
@@ -60,3 +60,15 @@ def test_facts_are_ranked_in_blocks(spark, data, monkeypatch):
 def test_every_described_edge_is_a_fact(spark, data):
     described = bindings.hyperedges(spark, data).where("description is not null").count()
     assert evaluation_queries.evidence_rank_all(spark, data).select("fact_id").distinct().count() == described > 20
+
+
+def test_two_hops_over_all_edges(spark, data):
+    edges = bindings.edges(spark, data)
+    want, rows = {r[0]: 0 for r in graph_queries._hubs(edges).collect()}, [r[0] for r in edges.select("vertices").collect()]
+    for hop in (1, 2):
+        near = {v for v, at in want.items() if at == hop - 1}
+        for vertices in rows:
+            if near & set(vertices):
+                want |= {v: hop for v in vertices if v not in want}
+    assert dict(graph_queries.hop2_subgraph_all(spark, data).collect()) == want
+    assert want != dict(graph_queries.hop2_subgraph(spark, data).collect())
