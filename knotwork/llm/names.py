@@ -185,6 +185,7 @@ class Matcher:
                 self.by_head.setdefault(head, []).append((rest, guard, canonical_id))
         self.keys, self.heads = BKTree(sorted(self.by_key)), BKTree(sorted(self.by_head))
         self.seen: dict[tuple[str, str], tuple[int, frozenset[str]] | None] = {}
+        self.short: set[tuple[str, str]] = set()  # keys whose hits are shortened names
 
     def best(self, words: str, guard: str) -> tuple[int, frozenset[str]] | None:
         """The least distance and the entries at it, among those with the same numbers and oxidation state."""
@@ -195,6 +196,7 @@ class Matcher:
                     hits.setdefault(d, set()).update(ids)
             head, _, rest = words.partition(" ")
             if not hits and rest and len(head) > 6:
+                self.short.add((words, guard))
                 for d, entry in self.heads.within(head, allowed(head)):
                     for whole, own, canonical_id in self.by_head[entry]:
                         if own == guard and shortened(rest, whole):
@@ -211,16 +213,22 @@ class Matcher:
                 out += [(name, least, i) for i in sorted(frozenset().union(*(ids for d, ids in hits if d == least)))]
         return pd.DataFrame(out, columns=["name", "edits", "canonical_id"])
 
+    def parts(self, names: pd.Series) -> pd.DataFrame:
+        """The hits of each reading apart, for a merge with those of other shards."""
+        out = [(name, n, k in self.short, h[0], i) for name in names for n, k in enumerate(readings(name)) if (h := self.best(*k)) for i in sorted(h[1])]
+        return pd.DataFrame(out, columns=["name", "reading", "short", "edits", "canonical_id"])
+
 
 MATCHES = "name string, edits int, canonical_id string"
+PARTS = "name string, reading int, short boolean, edits int, canonical_id string"
 
 
 def resolve_names(names: DataFrame, entries: DataFrame, tree_entries: int = TREE_ENTRIES) -> DataFrame:
     """name, canonical_id (or UNRESOLVED), edits for each distinct name. entries: canonical_id, entry (one row a spelling).
 
     A list of at most `tree_entries` spellings is one tree in every task; a longer one is sharded by entry, each slice
-    of the names meets each shard, and the shards' winners merge by least distance. Names at the same distance from
-    entries of different ids are UNRESOLVED, as are names whose number or oxidation state no entry has. Null names give
+    of the names meets each shard, and the shards' winners merge as in one tree: for each reading whole names before
+    shortened ones, then by least distance. Names at the same distance from entries of different ids are UNRESOLVED, as are names whose number or oxidation state no entry has. Null names give
     no row; repeated names one. An empty list leaves every name UNRESOLVED.
     """
     distinct = names.where("name is not null").select("name").distinct()
@@ -240,7 +248,10 @@ def resolve_names(names: DataFrame, entries: DataFrame, tree_entries: int = TREE
         shards, slices = -(-spelled.count() // tree_entries), max(1, names.sparkSession.sparkContext.defaultParallelism)
         left = distinct.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         right = spelled.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-        hits = left.groupBy("slice", "shard").cogroup(right.groupBy("slice", "shard")).applyInPandas(lambda a, b: Matcher(list(zip(b["canonical_id"], b["entry"]))).run(a["name"]), MATCHES)
+        parts = left.groupBy("slice", "shard").cogroup(right.groupBy("slice", "shard")).applyInPandas(lambda a, b: Matcher(list(zip(b["canonical_id"], b["entry"]))).parts(a["name"]), PARTS)
+        first, last = F.struct("short", "edits", "canonical_id"), F.struct(~F.col("short"), -F.col("edits"), "canonical_id")
+        ends = parts.groupBy("name", "reading").agg(F.min(first).alias("first"), F.max_by("canonical_id", last).alias("last"))
+        hits = ends.select("name", "first.edits", F.explode(F.array("first.canonical_id", "last")).alias("canonical_id"))
     least = hits.groupBy("name").agg(F.min(F.struct("edits", "canonical_id")).alias("best"), F.min_by("canonical_id", F.struct("edits", "canonical_id")).alias("low"), F.max_by("canonical_id", F.struct(-F.col("edits"), "canonical_id")).alias("high"))
     won = least.select("name", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(UNRESOLVED)).alias("canonical_id"), F.col("best.edits").alias("edits"))
     return distinct.join(won, "name", "left").select("name", F.coalesce("canonical_id", F.lit(UNRESOLVED)).alias("canonical_id"), "edits")

@@ -3,6 +3,7 @@
 import numpy as np
 
 from knotwork.llm import neighbours
+from knotwork.llm.names import UNRESOLVED, resolve_names
 from knotwork.llm.quality import classify
 from knotwork.operators import evaluate, resolve
 from knotwork.plans import bindings, evaluation_queries, graph_queries
@@ -72,3 +73,12 @@ def test_two_hops_over_all_edges(spark, data):
                 want |= {v: hop for v in vertices if v not in want}
     assert dict(graph_queries.hop2_subgraph_all(spark, data).collect()) == want
     assert want != dict(graph_queries.hop2_subgraph(spark, data).collect())
+
+
+def test_shards_prefer_whole_names_as_one_tree(spark):
+    entries = spark.createDataFrame([("a", "Fenaricade carbon paper"), ("b", "Fenaricade carbon paperboard"), *[(f"x{i}", f"Other{'abcdefghij'[i]}stuff") for i in range(10)]], "canonical_id string, entry string")
+    names = spark.createDataFrame([("Fenaricade carbon papr",), ("nothing like it",), ("Otherastuff",)], "name string")
+    whole = sorted(map(tuple, resolve_names(names, entries).select("name", "canonical_id").collect()))
+    assert whole == [("Fenaricade carbon papr", "a"), ("Otherastuff", "x0"), ("nothing like it", UNRESOLVED)]
+    for size in (1, 2, 5):
+        assert sorted(map(tuple, resolve_names(names, entries, size).select("name", "canonical_id").collect())) == whole
