@@ -153,7 +153,7 @@ def _scan(tables: np.ndarray, codes: np.ndarray, queries: np.ndarray, centre: np
     return score
 
 
-def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, dim: int = 96, probes: int = PROBES) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, dim: int = 96, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
     """query, other, similarity: the k nearest others of every vector in its namespace, by cosine similarity.
 
     vectors: vec_id, namespace, embedding. Rows without a usable vector (null, wrong length, not finite, all zero) and
@@ -224,7 +224,7 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
             q_all, q_ids = everything, ids  # a cell's own vectors ask it too
             cell = table.column("cell")[0].as_py()
             centre = centre_of[cell]
-            wide = min(RERANK + k, len(base_ids))
+            wide = min(rerank + k, len(base_ids))
             for low in range(0, len(q_ids), 256):
                 q, own = q_all[low : low + 256], q_ids[low : low + 256]
                 if cell in quantiser.exact:

@@ -15,8 +15,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten nearest of every vector, however far."""
-    return most_similar(table(spark, folder, "base_vector_storage"), k=10).select("query", "other", F.round("similarity", 6).alias("similarity"))
+    """The ten nearest of every vector, however far: far ones lie in more cells and their codes tell less, so more of both are looked at."""
+    return most_similar(table(spark, folder, "base_vector_storage"), k=10, probes=8, rerank=200).select("query", "other", F.round("similarity", 6).alias("similarity"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}

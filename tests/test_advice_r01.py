@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from knotwork.llm import neighbours
+from knotwork.llm import neighbours, queries_vectors
 from knotwork.llm.names import UNRESOLVED, resolve_names
 from knotwork.llm.quality import classify
 from knotwork.operators import evaluate, resolve
@@ -82,3 +82,17 @@ def test_shards_prefer_whole_names_as_one_tree(spark):
     assert whole == [("Fenaricade carbon papr", "a"), ("Otherastuff", "x0"), ("nothing like it", UNRESOLVED)]
     for size in (1, 2, 5):
         assert sorted(map(tuple, resolve_names(names, entries, size).select("name", "canonical_id").collect())) == whole
+
+
+def test_ten_nearest_however_far(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(3_600, 96))
+    rows = spark.createDataFrame([(i, "s", p.tolist()) for i, p in enumerate(points)], "vec_id bigint, namespace string, embedding array<float>")
+    monkeypatch.setattr(queries_vectors, "table", lambda *_: rows)
+    got = {}
+    for r in queries_vectors.p4_neighbours(spark, "").collect():
+        got.setdefault(r.query, set()).add(r.other)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert np.mean([len(got[i] & set(np.argsort(-s[i])[:10])) for i in range(len(points))]) >= 9
