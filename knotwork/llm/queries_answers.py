@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm.defects import find_defects
+from knotwork.llm.defects import find_defects, validation
 from knotwork.session import table
 
 
@@ -21,5 +21,10 @@ def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
     return find_defects(table(spark, folder, "evaluate_qa_answers")).select("answer_id", "defect_type", F.round("posterior", 4).alias("posterior"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels}
+def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Found and wrongly found pairs by defect and language on the held-out half of the damaged and invented pairs."""
+    return validation(table(spark, folder, "evaluate_qa_answers"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p1_validation": p1_validation}
 ORACLES: dict[str, str] = {}

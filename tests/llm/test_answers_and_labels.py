@@ -5,7 +5,7 @@ import pytest
 
 from knotwork.llm.consensus import Consensus, votes
 from knotwork.llm.defect_examples import EXAMPLES
-from knotwork.llm.defects import DEFECTS, LabelModel, _example_votes, find_defects
+from knotwork.llm.defects import LabelModel, copied_votes, find_defects, refusal_votes, squeeze, truncated_votes, validation
 
 PAIRS = "answer_id bigint, question string, answer string, gram string, word string"
 
@@ -17,12 +17,29 @@ def _pairs(spark, rows):
 def test_label_model_learns_from_patterns_alone():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.1
-    right = [0.9, 0.8, 0.85, 0.6]
-    seen = np.stack([np.where(rng.random(len(truth)) < p, truth, ~truth) for p in right], axis=1) * 2 - 1
-    patterns, counts = np.unique(seen, axis=0, return_counts=True)
-    model = LabelModel(patterns, counts.astype(float))
+    right = [0.97, 0.95, 0.95, 0.9]
+    says = np.stack([np.where(rng.random(len(truth)) < p, truth, ~truth) for p in right], axis=1)
+    silent = rng.random(says.shape) < 0.2
+    seen = ["".join("0" if s else "+" if v else "-" for v, s in zip(vs, ss)) for vs, ss in zip(says, silent)]
+    patterns, counts = np.unique(seen, return_counts=True)
+    model = LabelModel(list(patterns), counts.astype(float))
     assert abs(model.prior - 0.1) < 0.02
-    assert ((model.posterior(seen) > 0.5) == truth).mean() > 0.95
+    assert ((model.posterior(seen) > 0.5) == truth).mean() > 0.97
+
+
+def test_silence_is_no_evidence():
+    model = LabelModel(["000", "+00", "--0"], np.array([900.0, 50.0, 50.0]))
+    assert abs(model.posterior(["000"])[0] - model.prior) < 1e-9
+
+
+def test_functions_look_at_different_things():
+    assert refusal_votes("Most of the 12 cells survived the final month, and we do not know why.") == "000--"
+    assert refusal_votes("I'm sorry, but I can't help with that.")[0] == "+"
+    assert truncated_votes("It had been run for 35 weeks at 45 °C.")[0] == "-"
+    assert truncated_votes("It was measured by Dr. E.")[0] == "0"
+    assert truncated_votes("First, the cell is rinsed.\n2.")[3] == "+"
+    assert copied_votes("Why does it swell in acid?", "The question is: Why does it swell in acid?").count("+") >= 3
+    assert copied_votes("Why does it swell in acid?", "Why does it swell in acid? Because the fibres take up water and their coating breaks.")[1] == "-"
 
 
 def test_examples_and_odd_rows(spark):
@@ -38,8 +55,32 @@ def test_examples_and_odd_rows(spark):
 
 
 def test_several_defects_of_one_pair_are_kept():
-    votes_ = {d: _example_votes(d, "What does it do in the cell?", "What does it do in the") for d in DEFECTS}
-    assert votes_["truncated"][0] == 1 and 1 in votes_["copied_question"]
+    q, a = "What does it do (or not do) in the cell?", "What does it do (or not do in the"
+    assert "+" in truncated_votes(squeeze(a)) and copied_votes(q, a).count("+") >= 2
+
+
+def test_contexts_tell_cut_sentences(spark):
+    """Sentences of a few shapes; some answers miss the stop only, some are cut within a sentence."""
+    rows, cut = [], set()
+    for i in range(900):
+        whole = f"The run {i} was kept at rest for {i % 40} days. The loss of the cell depends on the flow of acid. It follows that the flow of acid limits the loss of the cell."
+        if i % 9 == 0:
+            whole, _ = whole[: whole.rindex("limits")].rstrip(), cut.add(i)
+        elif i % 9 == 1:
+            whole = whole.rstrip(".")
+        elif i % 9 == 2:
+            whole, _ = whole[: whole.rindex("limits") + 4], cut.add(i)
+        rows.append((f"What limits the run {i}?", whole))
+    got = {r.answer_id for r in find_defects(_pairs(spark, rows)).where("defect_type = 'truncated'").collect()}
+    assert got == cut
+
+
+def test_validation_reports_both_sides(spark):
+    rows = [(f"Why does the cell number {i} lose some of its charge?", f"The cell number {i} loses some of its charge because the seal of the tank is not tight. It was seen in {i % 7} runs.") for i in range(300)]
+    got = {(r.defect_type, r.lang): r for r in validation(_pairs(spark, rows)).collect()}
+    for defect in ("empty", "copied_question", "refusal"):
+        r = got[defect, "en"]
+        assert r.found >= 0.85 * r.damaged and r.wrongly_found <= 0.05 * r.sound
 
 
 def test_empty_pairs(spark):
