@@ -24,8 +24,19 @@ _CJK = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 
+_LANGUAGES = list(SETS)
+_MARKS: dict[str, tuple[int, ...]] = {}
+for _n, _k in enumerate(_LANGUAGES):
+    for _w in SETS[_k]:
+        _MARKS[_w] = (*_MARKS.get(_w, ()), _n)
+
+
 def common_counts(words: list[str]) -> dict[str, int]:
-    return {k: sum(w in s for w in words) for k, s in SETS.items()}
+    counts = [0] * len(_LANGUAGES)
+    for marks in filter(None, map(_MARKS.get, words)):
+        for n in marks:
+            counts[n] += 1
+    return dict(zip(_LANGUAGES, counts))
 
 
 def detect(text: str, least: int = 2) -> str | None:
