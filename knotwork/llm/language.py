@@ -18,6 +18,7 @@ COMMON = {
     "ru": "и в не на с что по как из к у за от для но до или о его это бы был была были при так уже только также если мы они она он же ли все после без том чем хотя потому который которая почему между под над через во".split(),
 }
 SETS = {k: frozenset(v) for k, v in COMMON.items()}
+MAIN = {k: SETS[k] for k in ("en", "de", "fr", "es", "ru")}  # with Chinese, the languages that texts are ranked in
 HAN = frozenset("的一是在了不和有中为与这因对使用以后而也或者从到被由于及其可将之前后经过但尽管")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CJK = re.compile(r"[㐀-鿿]")

@@ -1,8 +1,9 @@
 """Text statistics of every document, exact ranks within each language, and outlier scores from their tail probabilities.
 
-Statistics are computed over whole texts. Each (language, statistic) is ranked by a range-partitioned sort with
-partition offsets; the empirical tail probabilities are summed as logarithms into outlier scores. A document's class
-is what most of its text is, however many documents are like it; the score is reported beside it.
+Statistics are computed over whole texts. Each (language, statistic) is ranked over the distinct texts by a
+range-partitioned sort with partition offsets, which gives every value its empirical tail probabilities. A class (list,
+table, junk) has a combined tail probability, the largest of those of its statistics; a document is a candidate of the
+class where that lies under the language's cutoff, and an exact check of what most of the text is follows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.sizes import small_side
-from knotwork.llm.language import HAN, SETS
+from knotwork.llm.language import HAN, MAIN
 from knotwork.session import durable
 
 STATS = ["n_words", "word_len", "symbol_share", "digit_share", "stop_lines", "common_share", "distinct_share", "item_share", "cell_share", "noise_share"]
 LOW, HIGH = "low", "high"
 # Fixed choice: the tail of each statistic in which texts stop looking like prose.
 TAILS = {"word_len": (LOW, HIGH), "symbol_share": (HIGH,), "digit_share": (HIGH,), "stop_lines": (LOW,), "common_share": (LOW, HIGH), "distinct_share": (LOW,), "item_share": (HIGH,), "cell_share": (HIGH,), "noise_share": (HIGH,)}
-EVERY = frozenset().union(*SETS.values())
+# Fixed choice: the statistics whose tails make up a class.
+CLASSES = {"list": (("item_share", HIGH), ("common_share", LOW)), "table": (("cell_share", HIGH), ("common_share", LOW)), "junk": (("noise_share", HIGH),)}
+PRIOR_TEXTS = 50  # weight, in texts, of the ranks over all languages in those of one language
+SLACK = 0.05  # by how much a class's cutoff exceeds the share of the language's texts that is no prose
+EVERY = frozenset().union(*MAIN.values())
 _ITEM = re.compile(r"^(?:[-*+•‣·▪◦●○■□–—>]|\d{1,3}[.)]|\(\d{1,3}\)|\[\d{1,3}\]|\[[ xX✓✔]?\]|[☐☑☒✓✔]|[a-zA-Z][.)]|\([a-z]\)|[ivx]{1,4}[.)])\s+")
 _LEADER = re.compile(r"(?:\.{3,}|…|(?:\s\.){3,}|_{3,}|\t)\s*\d+(?:[,\s-]+\d+)*$|,\s*\d{1,4}(?:[,–-]\s*\d{1,4})*$")
 _GLOSS = re.compile(r"^[^:.!?]{2,60}:\s*\S[^.!?]{0,40}$")
@@ -116,13 +121,13 @@ def describe(text: str) -> tuple:
     words = text.lower().split()
     n = len(words)
     chars = max(1, len(text) - sum(map(text.count, " \n\t\r")))
-    counts = {k: 0 for k in SETS}
+    counts = {k: 0 for k in MAIN}
     tally = Counter(words)
     common = 0
     for w in EVERY.intersection(tally):
         c = tally[w]
         common += c
-        for k, s in SETS.items():
+        for k, s in MAIN.items():
             if w in s:
                 counts[k] += c
     han = 0
@@ -143,10 +148,7 @@ def describe(text: str) -> tuple:
     stop_lines = 0
     for line in lines:
         stop_lines += line.endswith(_ENDS)
-        if len(line) > 1500 and line.count(". ") * 300 > len(line):
-            kind = "prose"
-        else:
-            kind = _kind(line)
+        kind = _kind(line)
         if seen[line] >= 4 and len(lines) >= 6 and kind != "rule" and (len(line) > 6 or seen[line] > 0.5 * len(lines)) and seen[line] * 6 > len(lines):
             kind = "noise"
         sizes[kind] += len(line)
@@ -182,7 +184,7 @@ def describe(text: str) -> tuple:
     elif structured >= 0.5 and symbols - text.count(".") > 0.45 * chars and common_share < 0.05 and letters < 0.35 * chars and sizes["cell"] < 0.8 * total:
         noise = max(noise, 0.9)
     values = (float(units), chars / max(1, n), symbols / chars, digits / chars, stop_lines / max(1, len(lines)), common_share, distinct, sizes["item"] / total, sizes["cell"] / total, noise)
-    return (*[round(v, 4) for v in values], language)
+    return (*values, language)
 
 
 def _clumps(tally: Counter) -> float:
@@ -193,67 +195,97 @@ def _clumps(tally: Counter) -> float:
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(i, *describe(text), lang) for i, text, lang in batch.itertuples(index=False, name=None)]
-        frame = pd.DataFrame(out, columns=["doc_id", *STATS, "found", "lang"])
+        out = [(i, h, *describe(text), lang) for i, h, text, lang in batch.itertuples(index=False, name=None)]
+        frame = pd.DataFrame(out, columns=["doc_id", "text_hash", *STATS, "found", "lang"])
         frame["lang"] = frame["found"].where(frame["found"].notna(), frame["lang"])
         yield frame.drop(columns="found")
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, the statistics and the language (by the text's own words, else as stated). Null and blank texts are left out; each doc_id counts once."""
-    rows = documents.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", "text", "lang")
-    out = rows.mapInPandas(_describe, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS) + ", lang string")
-    return out.withColumn("lang", F.coalesce("lang", F.lit("und"))).dropDuplicates(["doc_id"])
+    """doc_id, text_hash, the statistics and the language (by the text's own words, else as stated, else `und`). Null and blank texts are left out; each doc_id counts once."""
+    rows = documents.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "lang")
+    out = rows.mapInPandas(_describe, "doc_id bigint, text_hash bigint, " + ", ".join(f"{s} double" for s in STATS) + ", lang string")
+    return out.withColumn("lang", F.coalesce("lang", F.lit(NONE))).dropDuplicates(["doc_id"])
+
+
+NONE, ALL = "und", "*"  # texts without a known language; the ranks over all languages
 
 
 def tail_probabilities(stats: DataFrame, names: list[str]) -> DataFrame:
-    """(lang, stat, value) with the shares of the language's documents at or below and at or above the value.
+    """(lang, stat, value) with the shares of the language's distinct texts at or below and at or above the value; the rows of `*` are over all languages.
 
-    Equal values are counted before the sort, so a value that a third of the documents share is one row. The sort is
-    range-partitioned; a partition's running count is shifted by the totals of the partitions before it (one row a
-    partition, language and statistic).
+    A text counts once however many documents hold it, and equal values are counted before the sort, so a value that a
+    third of the documents share is one row. The sort is range-partitioned; a partition's running count is shifted by
+    the totals of the partitions before it (one row a partition, language and statistic).
     """
-    long = stats.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")).select("lang", "s.stat", "s.value")
+    once = stats.dropDuplicates(["text_hash"])
+    long = once.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")).select("lang", "s.stat", "s.value")
     counts = long.groupBy("lang", "stat", "value").count()
+    counts = counts.unionByName(counts.groupBy("stat", "value").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(ALL)))
     ranged = durable(counts.repartitionByRange("stat", "lang", "value").withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part", "lang", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = ranged.withColumn("upto", F.sum("count").over(inside))
     totals = ranged.groupBy("part", "lang", "stat").agg(F.sum("count").alias("n"))
     group = Window.partitionBy("lang", "stat")
     offsets = totals.select("part", "lang", "stat", (F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"), F.sum("n").over(group).alias("all"))
-    placed = running.join(F.broadcast(offsets), ["part", "lang", "stat"])
+    placed = running.join(small_side(offsets), ["part", "lang", "stat"])
     at_or_below = F.col("before") + F.col("upto")
-    return placed.select("lang", "stat", "value", "count", (at_or_below / F.col("all")).alias("below"), ((F.col("all") - at_or_below + F.col("count")) / F.col("all")).alias("above"))
+    return placed.select("lang", "stat", "value", "count", "all", (at_or_below / F.col("all")).alias("below"), ((F.col("all") - at_or_below + F.col("count")) / F.col("all")).alias("above"))
+
 
+def blended(tails: DataFrame) -> DataFrame:
+    """The languages' tails, each leaning on those over all languages with the weight of PRIOR_TEXTS texts; texts of no known language lean on them wholly."""
+    pooled = tails.where(F.col("lang") == ALL).select("stat", "value", F.col("below").alias("all_below"), F.col("above").alias("all_above"))
+    own = F.when(F.col("lang") == NONE, 0).otherwise(F.col("all"))
+    mean = lambda c: ((own * F.col(c) + PRIOR_TEXTS * F.col(f"all_{c}")) / (own + PRIOR_TEXTS)).alias(c)
+    return tails.where(F.col("lang") != ALL).join(pooled, ["stat", "value"]).select("lang", "stat", "value", "count", mean("below"), mean("above"))
 
-HOT = 20_000  # a value that more documents share is joined by broadcast; of n documents at most n / HOT values a statistic are
+
+HOT = 20_000  # a value that more texts share is joined by broadcast; of n texts at most n / HOT values a statistic are
 
 
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """The statistics with `score` (sum of -log tail probabilities over all tails that matter), `peak` (the largest of them) and `peers` (documents of the language)."""
+    """The statistics with `score` (sum of -log tail probabilities over all tails that matter), `peak` (the largest of them), `peers` (documents of the language) and, for each class, its combined tail probability `p_<class>`."""
     names = list(TAILS)
-    tails = tail_probabilities(stats, names)
-    penalty = None
+    tails = durable(blended(tail_probabilities(stats, names)))
+    longest = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")
+    long = stats.select("doc_id", "lang", longest).select("doc_id", "lang", "s.stat", "s.value")
+    hot = tails.where(F.col("count") >= HOT).select("lang", "stat", "value", F.struct("below", "above").alias("hot"))
+    first = long.join(small_side(hot), ["lang", "stat", "value"], "left")
+    cold = first.where("hot is null").drop("hot").join(tails.where(F.col("count") < HOT).drop("count"), ["lang", "stat", "value"])
+    both = cold.select("doc_id", "stat", "below", "above").unionByName(first.where("hot is not null").select("doc_id", "stat", "hot.below", "hot.above"))
+    worst = None
     for i, n in enumerate(names):
-        worst = F.least(F.lit(1.0), *[F.col("below" if t == LOW else "above") for t in TAILS[n]])
-        penalty = F.when(F.col("stat") == i, -F.log(worst)) if penalty is None else penalty.when(F.col("stat") == i, -F.log(worst))
-    tails = durable(tails.select("lang", "stat", "value", "count", penalty.alias("penalty")))
-    long = stats.select("doc_id", "lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")).select("doc_id", "lang", "s.stat", "s.value")
-    hot = tails.where(F.col("count") >= HOT).select("lang", "stat", "value", F.col("penalty").alias("hot_penalty"))
-    first = long.join(F.broadcast(hot), ["lang", "stat", "value"], "left")
-    cold = first.where("hot_penalty is null").drop("hot_penalty").join(tails.where(F.col("count") < HOT).drop("count"), ["lang", "stat", "value"])
-    both = cold.select("doc_id", "penalty").unionByName(first.where("hot_penalty is not null").select("doc_id", F.col("hot_penalty").alias("penalty")))
+        p = F.least(F.lit(1.0), *[F.col("below" if t == LOW else "above") for t in TAILS[n]])
+        worst = F.when(F.col("stat") == i, p) if worst is None else worst.when(F.col("stat") == i, p)
+    joint = lambda parts: F.max(F.coalesce(*[F.when(F.col("stat") == names.index(n), F.col("below" if t == LOW else "above")) for n, t in parts]))
+    scores = both.withColumn("penalty", -F.log(worst)).groupBy("doc_id").agg(F.round(F.sum("penalty"), 4).alias("score"), F.round(F.max("penalty"), 4).alias("peak"), *[joint(parts).alias(f"p_{c}") for c, parts in CLASSES.items()])
     peers = small_side(stats.groupBy("lang").agg(F.count("*").alias("peers")))
-    scores = both.groupBy("doc_id").agg(F.round(F.sum("penalty"), 4).alias("score"), F.round(F.max("penalty"), 4).alias("peak"))
     return stats.join(scores, "doc_id").join(peers, "lang")
 
 
+SHARES = {"list": "item_share", "table": "cell_share", "junk": "noise_share"}
+
+
 def classify(documents: DataFrame) -> DataFrame:
-    """doc_id, the statistics, lang, score, peak and doc_class (prose, list, table, junk).
+    """doc_id, the statistics, lang, score, peak, the classes' tail probabilities and doc_class (prose, list, table, junk).
 
-    Ties share their ranks; an empty table gives no rows; very long texts are read whole.
+    A document is a candidate of the classes whose combined tail probability is under the language's cutoff, which lies
+    SLACK over the share of its distinct texts that are no prose by the exact shares (so that a language full of lists
+    keeps its lists). Of the candidates' classes the one that makes up over half of the text is taken, else, where the
+    classes together make up over 0.6, the one with the least tail probability. Ties share their ranks; an empty table
+    gives no rows; very long texts are read whole.
     """
-    scored = outlier_scores(durable(statistics(documents)))
-    kind = F.when(F.col("noise_share") > 0.5, "junk").when((F.col("cell_share") > 0.5) & (F.col("cell_share") >= F.col("item_share")), "table").when(F.col("item_share") > 0.5, "list").when(F.col("cell_share") + F.col("item_share") + F.col("noise_share") > 0.6, F.when((F.col("cell_share") >= F.col("item_share")) & (F.col("cell_share") >= F.col("noise_share")), "table").when(F.col("item_share") >= F.col("noise_share"), "list").otherwise("junk"))
-    # The shares are exact; a score would let copies of a text decide, as they raise its tail probabilities.
-    return scored.withColumn("doc_class", F.coalesce(kind, F.lit("prose")))
+    scored = durable(outlier_scores(durable(statistics(documents))))
+    structured = F.greatest(*[F.col(s) for s in SHARES.values()]) > 0.5
+    share = F.avg(structured.cast("double")) * 1.1 + SLACK
+    once = scored.dropDuplicates(["text_hash"])
+    overall = once.agg(share).first()[0]
+    lean = F.when(F.col("lang") == NONE, 0).otherwise(F.count("*"))
+    cutoffs = once.groupBy("lang").agg(((lean * share + PRIOR_TEXTS * F.lit(overall).cast("double")) / (lean + PRIOR_TEXTS)).alias("cutoff"))
+    open_to = {c: F.col(f"p_{c}") <= F.col("cutoff") for c in CLASSES}
+    total = sum(F.when(open_to[c], F.col(s)).otherwise(0.0) for c, s in SHARES.items())
+    most = F.when(open_to["junk"] & (F.col("noise_share") > 0.5), "junk").when(open_to["table"] & (F.col("cell_share") > 0.5) & (F.col("cell_share") >= F.col("item_share")), "table").when(open_to["list"] & (F.col("item_share") > 0.5), "list")
+    likeliest = F.array_min(F.array(*[F.struct(F.when(open_to[c], F.col(f"p_{c}")).otherwise(2.0).alias("p"), (-F.col(s)).alias("share"), F.lit(c).alias("c")) for c, s in SHARES.items()]))
+    out = scored.join(small_side(cutoffs), "lang").withColumn("doc_class", F.coalesce(most, F.when(total > 0.6, likeliest.c), F.lit("prose")))
+    return out.withColumn("candidate", F.coalesce(*[F.when(open_to[c], True) for c in CLASSES], F.lit(False))).drop("text_hash", "cutoff")

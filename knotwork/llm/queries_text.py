@@ -75,8 +75,9 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's statistics, outlier score and class."""
-    return classify(table(spark, folder, "documents"))
+    """Every document's statistics, outlier score, the classes' tail probabilities and class."""
+    out = classify(table(spark, folder, "documents"))
+    return out.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 QUERIES |= {"p10_found": p10_found, "p10_statistics": p10_statistics}

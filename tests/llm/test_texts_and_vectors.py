@@ -127,10 +127,10 @@ def test_descriptions(text, kind):
 def test_exact_tails(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(rng.integers(0, 6, size=200))]
-    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, x double")
+    stats = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id bigint, lang string, x double, text_hash bigint")
     got = {(r.lang, r.value): (r.below, r.above) for r in tail_probabilities(stats, ["x"]).collect()}
-    for lang in "ab":
-        x = np.array([v for _, k, v in rows if k == lang])
+    for lang in "ab*":
+        x = np.array([v for _, k, v in rows if lang in ("*", k)])
         for value in set(x):
             assert got[lang, value] == pytest.approx(((x <= value).mean(), (x >= value).mean()))
 
@@ -144,6 +144,20 @@ def test_classify_odd_rows(spark):
     assert classify(docs.limit(0)).count() == 0 and statistics(docs.limit(0)).count() == 0
 
 
+TABLE = "| run | loss |\n|---|---|\n| 1 | 0.3 |\n| 2 | 0.4 |"
+
+
+def test_ranks_choose_the_candidates(spark):
+    """Copies of a table fill a third of the rows, and one language holds lists only: both are found; prose with a small list in it is held back."""
+    rows = [(i, PROSE * (1 + i % 7) + f"Run {i} was the last.", "en") for i in range(200)]
+    rows += [(1000 + i, TABLE, None) for i in range(120)] + [(2000 + i, f"- Pumpe {i}\n- Rahmen {i}\n- Filz\n- Dichtung {i}", "de") for i in range(30)]
+    rows += [(3000 + i, PROSE * 3 + f"\n- felt {i}\n", "en") for i in range(20)]
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert {got[1000 + i].doc_class for i in range(120)} == {"table"} and {got[2000 + i].doc_class for i in range(30)} == {"list"}
+    assert {r.doc_class for k, r in got.items() if k < 1000 or k >= 3000} == {"prose"}
+    assert sum(r.candidate for k, r in got.items() if k < 200) == 0
+
+
 def _cloud(n=900, dim=96, seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(60, dim))
