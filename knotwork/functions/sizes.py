@@ -1,4 +1,4 @@
-"""Broadcast hints only behind a check of the side's size."""
+"""Broadcast hints only behind a check of the side's size; joins whose left side has hot keys."""
 
 from __future__ import annotations
 
@@ -14,3 +14,21 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     The check reads at most rows + 1 rows.
     """
     return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).take(rows + 1)) <= rows else df
+
+
+HOT_ROWS = 50_000  # a key with as many rows on the left is joined by broadcast; of n rows at most n / HOT_ROWS keys are
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which holds one row a key at most; `how` is inner or left.
+
+    A small right side is broadcast. Else the keys that fill many rows of the left are joined by broadcast of their few
+    right rows and the others by a shuffle, so that no task gets a hot key's rows. Null keys match nothing.
+    """
+    small = small_side(right)
+    if small is not right:
+        return left.join(small, keys, how)
+    hot = small_side(left.groupBy(*keys).count().where(F.col("count") >= rows).select(*keys, F.lit(True).alias("kw_hot")))
+    parts = left.join(hot, keys, "left")
+    cold = parts.where("kw_hot is null").drop("kw_hot").join(right, keys, how)
+    return cold.unionByName(parts.where("kw_hot").drop("kw_hot").join(F.broadcast(right.join(hot, keys).drop("kw_hot")), keys, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators.quantities import convert_quantities
+from knotwork.operators.quantities import convert_quantities, reliability
 from knotwork.session import table
 
 
@@ -20,5 +20,10 @@ def p3_predicted(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("origin = 'model'").select("quantity_id", "quantity_type", "unit", "lo_milli", "hi_milli", F.round("sure", 4).alias("sure"), "status")
 
 
-QUERIES = {"p3_found": p3_found, "p3_predicted": p3_predicted}
+def p3_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of the predicted units by type and calibrated probability, on quantities kept out of the fit."""
+    return reliability(table(spark, folder, "parsed_quantity"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_predicted": p3_predicted, "p3_reliability": p3_reliability}
 ORACLES: dict[str, str] = {}

@@ -48,3 +48,27 @@ def test_null_columns(spark, column):
 
     frame = spark.createDataFrame([_row(1, "1.5 V", value=1.5, unit="V")], SCHEMA).withColumn(column, F.lit(None).cast("string"))
     assert convert_quantities(frame).first().lo_milli == 1500
+
+
+def test_reliability_of_hidden_units(spark, data):
+    """Of the units kept out of the fit, those of 0.9 and more come back right nine times in ten and some go to review."""
+    from knotwork.operators.quantities import reliability
+
+    rows = reliability(spark.read.parquet(f"{data.replace('0.001', '0.01')}/parsed_quantity.parquet")).collect()
+    sure = [r for r in rows if r.sure_from >= 0.9]
+    assert sum(r.n * r.right for r in sure) >= 0.9 * sum(r.n for r in sure) > 0
+    assert sum(r.n for r in rows) > sum(r.n for r in sure)
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from knotwork.functions import sizes
+
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"))
+    right = spark.range(3000).select(F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    want = sorted((r.id, r.v) for r in left.join(right, "k", "left").collect())
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 10)
+    for limit in (sizes.small_side, lambda df, rows=100: F.broadcast(df) if df.limit(rows + 1).count() <= rows else df):
+        monkeypatch.setattr(sizes, "small_side", limit)
+        assert sorted((r.id, r.v) for r in sizes.join_hot(left, right, ["k"], "left", rows=500).collect()) == want
