@@ -221,6 +221,7 @@ def tail_probabilities(stats: DataFrame, names: list[str]) -> DataFrame:
     once = stats.dropDuplicates(["text_hash"])
     long = once.select("lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")).select("lang", "s.stat", "s.value")
     counts = long.groupBy("lang", "stat", "value").count()
+    counts = durable(counts)
     counts = counts.unionByName(counts.groupBy("stat", "value").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(ALL)))
     ranged = durable(counts.repartitionByRange("stat", "lang", "value").withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part", "lang", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -244,9 +245,9 @@ def blended(tails: DataFrame) -> DataFrame:
 HOT = 20_000  # a value that more texts share is joined by broadcast; of n texts at most n / HOT values a statistic are
 
 
-def outlier_scores(stats: DataFrame) -> DataFrame:
-    """The statistics with `score` (sum of -log tail probabilities over all tails that matter), `peak` (the largest of them), `peers` (documents of the language) and, for each class, its combined tail probability `p_<class>`."""
-    names = list(TAILS)
+def outlier_scores(stats: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The statistics with `score` (sum of -log tail probabilities over all tails that matter), `peak` (the largest of them), `peers` (documents of the language) and, for each class, its combined tail probability `p_<class>`. `names` are the statistics to rank, all with tails if not given."""
+    names = names or list(TAILS)
     tails = durable(blended(tail_probabilities(stats, names)))
     longest = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(n).alias("value")) for i, n in enumerate(names)])).alias("s")
     long = stats.select("doc_id", "lang", longest).select("doc_id", "lang", "s.stat", "s.value")
@@ -264,10 +265,11 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     return stats.join(scores, "doc_id").join(peers, "lang")
 
 
+DECIDING = sorted({n for parts in CLASSES.values() for n, _ in parts})
 SHARES = {"list": "item_share", "table": "cell_share", "junk": "noise_share"}
 
 
-def classify(documents: DataFrame) -> DataFrame:
+def classify(documents: DataFrame, names: list[str] | None = None) -> DataFrame:
     """doc_id, the statistics, lang, score, peak, the classes' tail probabilities and doc_class (prose, list, table, junk).
 
     A document is a candidate of the classes whose combined tail probability is under the language's cutoff, which lies
@@ -276,7 +278,7 @@ def classify(documents: DataFrame) -> DataFrame:
     classes together make up over 0.6, the one with the least tail probability. Ties share their ranks; an empty table
     gives no rows; very long texts are read whole.
     """
-    scored = durable(outlier_scores(durable(statistics(documents))))
+    scored = durable(outlier_scores(durable(statistics(documents)), names))
     structured = F.greatest(*[F.col(s) for s in SHARES.values()]) > 0.5
     share = F.avg(structured.cast("double")) * 1.1 + SLACK
     once = scored.dropDuplicates(["text_hash"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.lookalike import LETTERS, LIGATURES, ROMAN
 from knotwork.llm.chunks import split_oversized
-from knotwork.llm.quality import classify
+from knotwork.llm.quality import DECIDING, classify
 from knotwork.llm.unify import corpus_values, equal_looking_pairs, unify
 from knotwork.session import table
 
@@ -71,7 +71,7 @@ ORACLES = {
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return classify(table(spark, folder, "documents")).where("doc_class <> 'prose'").select("doc_id", "doc_class")
+    return classify(table(spark, folder, "documents"), DECIDING).where("doc_class <> 'prose'").select("doc_id", "doc_class")
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
