@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,35 +37,43 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, strength.astype(np.int8)
 
 
+MORE = 3  # pieces over the least number that are tried for the sake of natural ends
+
+
 def cut_points(strength: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Token ranges of the pieces. The least number of pieces first; each end is put at the strongest break near its
-    equal-length target; if the last piece then exceeds the size, one more piece is tried."""
+    """Token ranges of the pieces: the least number of pieces that keeps the size, ends at equal-length targets, each
+    snapped to the strongest break near its target that still lets the rest keep the size. Where an end finds no break
+    at all, up to MORE pieces more are tried, as they leave more room; of equal results the fewest pieces are taken."""
     n = len(strength)
     if n <= size:
         return [(0, n)]
-    step = size - overlap
-    k = -(-(n - overlap) // step)
-    while True:
-        pieces, end = [], 0
-        for left in range(k, 0, -1):
-            start = max(0, end - overlap)
-            if left == 1:
-                pieces.append((start, n))
-                break
-            low, high = end + 1, min(start + size, n - 1)
-            target = min(max(end + round((n - end) / left), low), high)
-            spread = max(size - (target - start), step // 4, 1)
-            a, b = max(low, target - spread), min(high, target + spread)
-            best = _nearest(strength, a, b, target)
-            if best is None:
-                best = _nearest(strength, max(low, start + overlap + 1), high, target)
-            end = target if best is None else best
-            pieces.append((start, end))
-            if end >= n:
+    least = 1 + -(-(n - size) // (size - overlap))
+    best, missed = _ends(strength, size, overlap, least)
+    if missed and strength[: n - 1].any():
+        for k in range(least + 1, least + 1 + MORE):
+            ends, bad = _ends(strength, size, overlap, k)
+            if bad < missed:
+                best, missed = ends, bad
+            if not missed:
                 break
-        if pieces[-1][1] == n and pieces[-1][1] - pieces[-1][0] <= size:
-            return pieces
-        k += 1
+    return [(max(0, a - overlap), b) for a, b in zip([0, *best[:-1]], best)]
+
+
+def _ends(strength: np.ndarray, size: int, overlap: int, k: int) -> tuple[list[int], int]:
+    """Ends of k pieces and how many of them are at no break. Piece i holds its overlap and the tokens up to its end."""
+    n, step = len(strength), size - overlap
+    length = (n + (k - 1) * overlap) / k  # of every piece, overlaps counted twice
+    ends, end, missed = [], 0, 0
+    for i in range(1, k):
+        low = max(end + 1, n - (k - i) * step)  # what is left must fit into the pieces left
+        high = min(end + step if i > 1 else size, n - (k - i))
+        target = min(max(math.ceil(i * length - (i - 1) * overlap - 0.5), low), high)
+        spread = max(step // 4, 1)
+        at = _nearest(strength, max(low, target - spread), min(high, target + spread), target) or _nearest(strength, low, high, target)
+        missed += at is None
+        end = target if at is None else at
+        ends.append(end)
+    return [*ends, n], missed
 
 
 def _nearest(strength: np.ndarray, low: int, high: int, target: int) -> int | None:

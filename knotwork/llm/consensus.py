@@ -2,24 +2,25 @@
 
 Annotators belong to a few communities (accurate, lenient, harsh, contrary, careless, fixed on one score), each with a
 confusion matrix. An annotator's own matrix has its community's matrix as prior, so annotators with few labels lean on
-their community. The answers stay distributed; only counts per annotator reach the driver.
+their community. Votes, answers and annotators are all tables: an annotator's parameters are a row that is joined to
+its votes, and only sums over all annotators (a few hundred numbers a partition) reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.functions.sizes import hot_keys, join_split, small_side
 from knotwork.session import durable
 
 K = 5
-ANNOTATORS = 100_000  # bound on the annotators whose parameters are held at once (200 bytes each, 20 MB)
-WEIGHT = 12.0  # pseudo-labels that a community's row lends each annotator
+WEIGHT = 12.0  # pseudo-labels that a community's row lends each annotator, and that its starting shape lends the community
+KINDS = ["accurate", "lenient", "harsh", "contrary", "careless", *[f"always_{v}" for v in range(1, K + 1)]]
 
 
 def votes(answers: DataFrame) -> DataFrame:
@@ -33,17 +34,6 @@ def votes(answers: DataFrame) -> DataFrame:
     return usable.groupBy("answer_id", "name").agg(F.min_by("score", "pos").cast("int").alias("score"))
 
 
-@dataclass
-class Model:
-    names: list[str]
-    classes: np.ndarray  # (K,) expected class shares
-    log_classes: np.ndarray
-    confusion: np.ndarray  # (J, K, K) expected matrices
-    log_confusion: np.ndarray
-    community: np.ndarray  # (J, M)
-    counts: np.ndarray  # (J, K, K)
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=float)
     out = np.zeros_like(x)
@@ -71,123 +61,130 @@ def first_communities() -> np.ndarray:
     return out / out.sum(axis=2, keepdims=True)
 
 
-def update(counts: np.ndarray, communities: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Variational update of the annotators' communities and matrices, and of the communities."""
+def update(counts: np.ndarray, communities: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variational update of annotators (J, K, K counts): community memberships and Dirichlet posteriors of their matrices."""
     prior = WEIGHT * communities
     evidence = (_lgamma(prior[None] + counts[:, None]) - _lgamma(prior)[None]).sum(axis=3) + _lgamma(prior.sum(axis=2))[None] - _lgamma(prior.sum(axis=2)[None] + counts.sum(axis=2)[:, None])
     log = np.log(shares)[None] + evidence.sum(axis=2)
     member = np.exp(log - log.max(axis=1, keepdims=True))
     member /= member.sum(axis=1, keepdims=True)
-    own = np.einsum("jm,mtv->jtv", member, prior) + counts
-    total = own.sum(axis=2, keepdims=True)
-    # A community's row is the mean of its members' rows, each weighing at most WEIGHT labels, beside its starting shape.
-    scale = np.minimum(counts.sum(axis=2, keepdims=True), 4 * WEIGHT) / np.maximum(counts.sum(axis=2, keepdims=True), 1e-9)
-    pooled = np.einsum("jm,jtv->mtv", member, counts * scale) + WEIGHT * communities
-    return member, own / total, _digamma(own) - _digamma(total), pooled / pooled.sum(axis=2, keepdims=True), (member.sum(axis=0) + 1.0) / (len(member) + member.shape[1])
-
-
-def _posteriors(codes: pa.Array, log_classes: np.ndarray, log_confusion: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(answers, K) posteriors, with the flat codes and the answer of each."""
-    flat, offsets = codes.flatten().to_numpy(zero_copy_only=False), codes.offsets.to_numpy()
-    flat = flat.astype(np.int64)
-    row = np.repeat(np.arange(len(codes)), np.diff(offsets))
-    score, judge = flat % 8 - 1, flat // 8
-    if log_confusion is None:  # the start: each vote leans to its score and the scores near it
-        lean = -0.8 * np.abs(np.arange(K)[None, :] - score[:, None])
-    else:
-        lean = log_confusion[judge, :, score]
-    log = np.zeros((len(codes), K))
-    np.add.at(log, row, lean)
-    log += log_classes
-    p = np.exp(log - log.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True), flat, row
-
-
-def _count_of(score: int) -> F.Column:
-    return F.size(F.filter("s", lambda x: x == score))
+    return member, np.einsum("jm,mtv->jtv", member, prior) + counts
+
+
+def pooled_counts(member: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(M, K, K): the communities' counts, each annotator's row weighing at most 4 * WEIGHT labels."""
+    of = counts.sum(axis=2, keepdims=True)
+    return np.einsum("jm,jtv->mtv", member, counts * np.minimum(of, 4 * WEIGHT) / np.maximum(of, 1e-9))
+
+
+JUDGES = "name string, n_labels bigint, counts array<double>, logs array<double>, member array<double>, moved double"  # counts and logs (expected logarithms of the matrix) by (true class, score)
 
 
 class Consensus:
-    """Fit on a frame of votes; `labels` and `judges` give the results."""
+    """Fit on a frame of votes; `labels`, `judges` and `agreement` give the results."""
 
-    def __init__(self, votes: DataFrame, most: int = 40, tolerance: float = 1e-4):
+    def __init__(self, votes: DataFrame, most: int = 40, tolerance: float = 1e-3):
         self.spark = votes.sparkSession
-        each = durable(votes)
-        rows = each.groupBy("name").count().orderBy("name").limit(ANNOTATORS + 1).collect()
-        if len(rows) > ANNOTATORS:
-            raise ValueError(f"more than {ANNOTATORS} annotators; raise the bound or fit them in groups")
-        names = [r[0] for r in rows]
-        self.loads = [r[1] for r in rows]
-        numbered = self.spark.createDataFrame(list(enumerate(names)), "judge int, name string")
-        self.answers = durable(each.join(F.broadcast(numbered), "name").groupBy("answer_id").agg(F.sort_array(F.collect_list(F.col("judge") * 8 + F.col("score"))).alias("codes")))
-        self.model = self._fit(names, most, tolerance)
-
-    def _counts(self, log_classes: np.ndarray, log_confusion: np.ndarray | None, judges: int) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(judges * K * K)
-            for batch in batches:
-                if batch.num_rows:
-                    p, flat, row = _posteriors(batch.column(0), log_classes, log_confusion)
-                    cell = (flat // 8)[:, None] * K * K + np.arange(K)[None, :] * K + (flat % 8 - 1)[:, None]
-                    total += np.bincount(cell.ravel(), weights=p[row].ravel(), minlength=len(total))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.float64())], names=["cell", "weight"])
-
-        out = np.zeros(judges * K * K)
-        for cell, weight in self.answers.select("codes").mapInArrow(run, "cell bigint, weight double").groupBy("cell").agg(F.sum("weight")).collect():
-            out[cell] = weight
-        return out.reshape(judges, K, K)
-
-    def _fit(self, names: list[str], most: int, tolerance: float) -> Model:
-        communities, log_classes, log_confusion = first_communities(), np.full(K, -np.log(K)), None
-        shares = np.full(len(communities), 1.0 / len(communities))
-        before, member = None, np.zeros((0, len(communities)))
-        counts, confusion, classes = np.zeros((0, K, K)), np.zeros((0, K, K)), np.full(K, 1.0 / K)
-        for _ in range(most if names else 0):
-            counts = self._counts(log_classes, log_confusion, len(names))
-            member, confusion, log_confusion, communities, shares = update(counts, communities, shares)
-            # Each answer counts once: its votes' posterior mass over the number of votes.
-            mass = counts.sum(axis=(0, 2)) + 1.0
-            classes, log_classes = mass / mass.sum(), _digamma(mass) - _digamma(mass.sum())
-            if before is not None and np.abs(confusion - before).max() < tolerance:
+        self.votes = durable(votes)
+        self.hot_answers, self.hot_names = hot_keys(self.votes, ["answer_id"]), hot_keys(self.votes, ["name", "score"])
+        self.log_classes, self.classes = np.full(K, -np.log(K)), np.full(K, 1.0 / K)
+        self.params: DataFrame | None = None
+        self.rounds = 0
+        start = first_communities()
+        communities, shares = start, np.full(len(start), 1.0 / len(start))
+        for _ in range(most):
+            self.params = durable(self._annotators(communities, shares))
+            sums = np.sum([np.asarray(r[0]) for r in self.params.mapInPandas(_sums, "sums array<double>").collect()] or [np.zeros(1)], axis=0)
+            if len(sums) == 1:  # no votes
+                break
+            self.rounds += 1
+            n, moved, mass, member = sums[0], sums[1] / max(sums[0], 1), sums[2 : 2 + K] + 1.0, sums[2 + K : 2 + K + len(KINDS)]
+            own = WEIGHT * start + sums[2 + K + len(KINDS) :].reshape(len(KINDS), K, K)
+            communities, shares = own / own.sum(axis=2, keepdims=True), (member + 1.0) / (n + len(KINDS))
+            self.classes, self.log_classes = mass / mass.sum(), _digamma(mass) - _digamma(mass.sum())
+            if moved < tolerance:
                 break
-            before = confusion
-        return Model(names, classes, log_classes, confusion, log_confusion if log_confusion is not None else np.zeros((0, K, K)), member, counts)
-
-    def labels(self, least: int = 3) -> DataFrame:
-        """answer_id, label, sure (posterior of the label), agreement (share of the votes that equal it), n_votes."""
-        log_classes, log_confusion = self.model.log_classes, self.model.log_confusion
-        names = ["answer_id", "label", "sure", "agreement", "n_votes"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posteriors(self) -> DataFrame:
+        """answer_id, n_votes, q0..q4: the posterior of each class by the current parameters, from sums over the answer's votes."""
+        if self.params is None:  # the start: each vote leans to its score and the scores near it
+            leaning = self.votes.select("answer_id", *[(-0.8 * F.abs(F.col("score") - 1 - t)).alias(f"e{t}") for t in range(K)])
+        else:
+            by_score = self.params.select("name", F.explode(F.array(*[F.struct(F.lit(v + 1).alias("score"), *[F.get("logs", F.lit(t * K + v)).alias(f"e{t}") for t in range(K)]) for v in range(K)])).alias("x")).select("name", "x.*")
+            leaning = join_split(self.votes, small_side(by_score), ["name", "score"], self.hot_names)
+        log = leaning.groupBy("answer_id").agg(F.count("*").alias("n_votes"), *[(F.sum(f"e{t}") + float(self.log_classes[t])).alias(f"e{t}") for t in range(K)])
+        top = F.greatest(*[F.col(f"e{t}") for t in range(K)])
+        weights = log.select("answer_id", "n_votes", *[F.exp(F.col(f"e{t}") - top).alias(f"e{t}") for t in range(K)])
+        whole = sum(F.col(f"e{t}") for t in range(K))
+        return weights.select("answer_id", "n_votes", *[(F.col(f"e{t}") / whole).alias(f"q{t}") for t in range(K)])
+
+    def _annotators(self, communities: np.ndarray, shares: np.ndarray) -> DataFrame:
+        """The annotators' parameters after one round: expected counts by annotator, then the update of each row by itself."""
+        each = join_split(self.votes, self.posteriors().drop("n_votes"), ["answer_id"], self.hot_answers)
+        cells = each.groupBy("name", "score").agg(F.count("*").alias("n"), *[F.sum(f"q{t}").alias(f"q{t}") for t in range(K)])
+        rows = cells.groupBy("name").agg(F.sum("n").alias("n_labels"), F.collect_list(F.struct("score", *[f"q{t}" for t in range(K)])).alias("cells"))  # at most one entry a score
+        if self.params is not None:
+            rows = rows.join(self.params.select("name", F.col("logs").alias("old")), "name")
+        names = [c.split()[0] for c in JUDGES.split(", ")]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if batch.num_rows:
-                    p, flat, row = _posteriors(batch.column(1), log_classes, log_confusion)
-                    best, n = p.argmax(axis=1), np.bincount(row, minlength=len(p))
-                    same = np.bincount(row, weights=(flat % 8 - 1) == best[row], minlength=len(p)) / n
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best + 1, pa.int32()), pa.array(p.max(axis=1)), pa.array(same), pa.array(n, pa.int32())], names=names)
+                counts = np.zeros((len(batch), K, K))
+                for j, cells in enumerate(batch["cells"]):
+                    for cell in cells:
+                        counts[j, :, cell["score"] - 1] = [cell[f"q{t}"] for t in range(K)]
+                member, own = update(counts, communities, shares)
+                logs = (_digamma(own) - _digamma(own.sum(axis=2, keepdims=True))).reshape(-1, K * K)
+                old = np.stack(batch["old"].tolist()) if "old" in batch and len(batch) else np.full_like(logs, -99.0)
+                moved = np.abs(np.exp(logs) - np.exp(old)).max(axis=1, initial=0.0)
+                yield pd.DataFrame(dict(zip(names, (batch["name"], batch["n_labels"], counts.reshape(-1, K * K).tolist(), logs.tolist(), member.tolist(), moved))))
+
+        return rows.mapInPandas(run, JUDGES)
 
-        return self.answers.where(F.size("codes") >= least).select("answer_id", "codes").mapInArrow(run, "answer_id bigint, label int, sure double, agreement double, n_votes int")
+    def labels(self, least: int = 3) -> DataFrame:
+        """answer_id, label, sure (posterior of the label), agreement (share of the votes that equal it), n_votes."""
+        q = F.array(*[F.col(f"q{t}") for t in range(K)])
+        best = self.posteriors().where(F.col("n_votes") >= least).select("answer_id", F.col("n_votes").cast("int").alias("n_votes"), F.array_position(q, F.array_max(q)).cast("int").alias("label"), F.array_max(q).alias("sure"))
+        joined = join_split(self.votes, best.select("answer_id", "label"), ["answer_id"], self.hot_answers)
+        same = joined.groupBy("answer_id").agg(F.avg((F.col("score") == F.col("label")).cast("double")).alias("agreement"))
+        return best.join(same, "answer_id").select("answer_id", "label", "sure", "agreement", "n_votes")
 
     def judges(self) -> DataFrame:
         """judge, n_labels, accuracy (expected share of right scores), information (share of the label's entropy its scores tell), community."""
-        m, kinds = self.model, ["accurate", "lenient", "harsh", "contrary", "careless", *[f"always_{v}" for v in range(1, K + 1)]]
-        out = []
-        for j, name in enumerate(m.names):
-            joint = m.classes[:, None] * m.confusion[j]
-            information = float((joint * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))).sum() / -(m.classes * np.log(m.classes)).sum())
-            out.append((name, int(self.loads[j]), round(float(np.trace(joint)), 4), round(information, 4), kinds[int(m.community[j].argmax())]))
-        return self.spark.createDataFrame(out, "judge string, n_labels bigint, accuracy double, information double, community string")
-
-    def agreement(self) -> DataFrame:
-        """Krippendorff's alpha for ordinal distance over all answers with two votes or more, in one row."""
-        pairs = self.answers.where(F.size("codes") > 1).select(F.transform("codes", lambda c: c % 8).alias("s"), (F.size("codes") - 1).alias("m"))
-        tally = pairs.select("m", *[_count_of(v).alias(f"n{v}") for v in range(1, K + 1)])
-        cells = [F.sum(F.col(f"n{a}") * (F.col(f"n{b}") - (1 if a == b else 0)) / F.col("m")).alias(f"o{a}{b}") for a in range(1, K + 1) for b in range(1, K + 1)]
-        row = tally.agg(*cells).first()
-        o = np.array([[row[f"o{a}{b}"] or 0.0 for b in range(1, K + 1)] for a in range(1, K + 1)])
-        n = o.sum(axis=1)
-        between = lambda a, b: (n[min(a, b) : max(a, b) + 1].sum() - (n[a] + n[b]) / 2) ** 2
-        d = np.array([[between(a, b) if a != b else 0.0 for b in range(K)] for a in range(K)])
-        seen, chance = (o * d).sum(), (np.outer(n, n) * d).sum() / max(n.sum() - 1, 1)
-        return self.spark.createDataFrame([(float(n.sum()), round(float(1 - seen / chance), 4) if chance else None)], "pairable double, alpha double")
+        classes = self.classes
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                matrix = np.maximum(np.exp(np.array(batch["logs"].tolist()).reshape(-1, K, K)), 1e-12)
+                joint = classes[None, :, None] * matrix / matrix.sum(axis=2, keepdims=True)
+                told = (joint * np.log(joint / (joint.sum(2, keepdims=True) * joint.sum(1, keepdims=True)))).sum(axis=(1, 2)) / -(classes * np.log(classes)).sum()
+                kind = np.array(batch["member"].tolist()).reshape(-1, len(KINDS)).argmax(axis=1)
+                yield pd.DataFrame({"judge": batch["name"], "n_labels": batch["n_labels"], "accuracy": np.trace(joint, axis1=1, axis2=2).round(4), "information": told.round(4), "community": [KINDS[i] for i in kind]})
+
+        return self.params.mapInPandas(run, "judge string, n_labels bigint, accuracy double, information double, community string")
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a partition: annotators, sum of their largest changes, class masses, memberships, communities' counts."""
+    total = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        c, member = np.array(batch["counts"].tolist()).reshape(-1, K, K), np.array(batch["member"].tolist())
+        part = np.concatenate([[len(batch), batch["moved"].sum()], c.sum(axis=(0, 2)), member.sum(axis=0), pooled_counts(member, c).ravel()])
+        total = part if total is None else total + part
+    if total is not None:
+        yield pd.DataFrame({"sums": [total.tolist()]})
+
+
+def agreement(votes: DataFrame) -> DataFrame:
+    """pairable, alpha: Krippendorff's alpha for ordinal distance over all answers with two votes or more, in one row (alpha null without any)."""
+    tally = votes.groupBy("answer_id").agg(F.count("*").alias("m"), *[F.sum((F.col("score") == v).cast("double")).alias(f"n{v}") for v in range(1, K + 1)]).where("m > 1")
+    cells = [F.sum(F.col(f"n{a}") * (F.col(f"n{b}") - (1 if a == b else 0)) / (F.col("m") - 1)).alias(f"o{a}{b}") for a in range(1, K + 1) for b in range(1, K + 1)]
+    row = tally.agg(*cells).first()
+    o = np.array([[row[f"o{a}{b}"] or 0.0 for b in range(1, K + 1)] for a in range(1, K + 1)])
+    n = o.sum(axis=1)
+    between = lambda a, b: (n[min(a, b) : max(a, b) + 1].sum() - (n[a] + n[b]) / 2) ** 2
+    d = np.array([[between(a, b) if a != b else 0.0 for b in range(K)] for a in range(K)])
+    seen, chance = (o * d).sum(), (np.outer(n, n) * d).sum() / max(n.sum() - 1, 1)
+    return votes.sparkSession.createDataFrame([(float(round(n.sum(), 6)), round(float(1 - seen / chance), 4) if chance else None)], "pairable double, alpha double")

@@ -1,7 +1,9 @@
 """Texts put into containers of fixed capacity: best fit first, then local search by moves and swaps.
 
 Items are packed in groups of bounded size; the containers a group leaves underfull give their items to the next round,
-where fewer groups pack them, until one group is left. A text is cut only if it alone exceeds the capacity.
+where fewer groups pack them, until one group is left, or until a round closes too little to save a group: then every
+group keeps the containers it has. No task ever packs more than a group. A text is cut only if it alone exceeds the
+capacity. The limits of the local search below bound its effort; they leave no item out.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from knotwork.session import durable
 
 GROUP = 12_000  # items packed together
 FULL = 0.995  # a container filled to this share is closed
-TRIES = 60_000  # exchanges that one group's local search looks at
+TRIES = 60_000  # pairs of bins that one group's local search looks at
+GIVERS = 4  # bins tried as givers for every bin over the lower bound
+SMALL, LARGE, PAIRED = 40, 12, 12  # items of a bin looked at: the smallest to give back, the largest to give two of, the smallest to give back two of
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -47,7 +51,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, tries:
     fill = [sum(sizes[i] for i in b) for b in bins]
     alive = len(bins)
     open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
-    for giver in open_bins[: max(1, alive - least) * 4]:
+    for giver in open_bins[: max(1, alive - least) * GIVERS]:
         if alive <= least or tries <= 0:
             break
         better = True
@@ -89,7 +93,7 @@ def _exchange(give: list[int], take: list[int], sizes: list[int], room: int) ->
             best, pick = s, ([i], [])
     if best == room:
         return pick
-    small = sorted(take, key=lambda j: sizes[j])[:40]
+    small = sorted(take, key=lambda j: sizes[j])[:SMALL]
     for i in give:
         for j in small:
             gain = sizes[i] - sizes[j]
@@ -97,7 +101,7 @@ def _exchange(give: list[int], take: list[int], sizes: list[int], room: int) ->
                 best, pick = gain, ([i], [j])
     if best == room:
         return pick
-    few = sorted(give, key=lambda i: -sizes[i])[:12]
+    few = sorted(give, key=lambda i: -sizes[i])[:LARGE]
     for x, i in enumerate(few):
         for k in few[x + 1 :]:
             both = sizes[i] + sizes[k]
@@ -106,8 +110,8 @@ def _exchange(give: list[int], take: list[int], sizes: list[int], room: int) ->
                 if best < gain <= room:
                     best, pick = gain, ([i, k], [j])
     for i in few:
-        for x, j in enumerate(small[:12]):
-            for k in small[x + 1 : 12]:
+        for x, j in enumerate(small[:PAIRED]):
+            for k in small[x + 1 : PAIRED]:
                 gain = sizes[i] - sizes[j] - sizes[k]
                 if best < gain <= room:
                     best, pick = gain, ([i], [j, k])
@@ -154,20 +158,18 @@ def pack(items: DataFrame, capacities: DataFrame, group: int = GROUP) -> DataFra
     done = pieces.where(full).select(*columns, F.concat_ws("-", "tier", F.lit("own"), "doc_id", "piece_no").alias("container"), F.col("tokens").alias("container_tokens"))
     left, parts = durable(pieces.where(~full).select(*columns)), [done]
     most = left.groupBy("tier").count().agg(F.max("count")).first()[0] or 0
-    turn = 0
+    turn, stuck = 0, False
     while most:
         groups = -(-most // group)
-        last = groups == 1
-
+        last = stuck or groups == 1
         salted = left.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(turn)), F.lit(groups)).cast("int"))
         packed = durable(salted.groupBy("tier", "pack_group").applyInPandas(_packer(size_of, columns, turn, last), out))
         parts.append(packed.where("container is not null"))
         if last:
             break
         left = packed.where("container is null").select(*columns)
-        before, most = most, left.groupBy("tier").count().agg(F.max("count")).first()[0] or 0
-        if -(-most // group) >= groups:  # hardly anything was closed: larger groups would not help either
-            group = most
+        most = left.groupBy("tier").count().agg(F.max("count")).first()[0] or 0
+        stuck = -(-most // group) >= groups  # too little was closed to save a group: another round would not either
         turn += 1
     whole = parts[0]
     for p in parts[1:]:

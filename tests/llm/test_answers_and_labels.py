@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from knotwork.llm.consensus import Consensus, votes
+from knotwork.llm.consensus import Consensus, agreement, votes
 from knotwork.llm.defect_examples import EXAMPLES
 from knotwork.llm.defects import LabelModel, copied_votes, find_defects, refusal_votes, squeeze, truncated_votes, validation
 
@@ -128,9 +128,9 @@ def test_planted_judges_are_recovered(spark):
 
 def test_no_votes(spark):
     model = Consensus(votes(_judged(spark, [(1, None)])))
-    assert model.labels().count() == 0 and model.judges().count() == 0 and model.agreement().first().alpha is None
+    assert model.labels().count() == 0 and model.judges().count() == 0 and agreement(model.votes).first().alpha is None
 
 
 def test_agreement_of_unanimous_judges(spark):
     rows = [(i, [("a", float(i % 5 + 1)), ("b", float(i % 5 + 1)), ("c", float(i % 5 + 1))]) for i in range(20)]
-    assert Consensus(votes(_judged(spark, rows)), most=1).agreement().first().alpha == pytest.approx(1.0)
+    assert agreement(votes(_judged(spark, rows))).first().alpha == pytest.approx(1.0)

@@ -1,6 +1,7 @@
 """Chunks, quality classes, packing, mixing and neighbours: invariants and brute force."""
 
 import math
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from knotwork.llm import neighbours
 from knotwork.llm.chunks import boundaries, cut_points, split_oversized
-from knotwork.llm.mixing import frame_counts, mix, pfair, shares
+from knotwork.llm.mixing import mix, pfair, shares
 from knotwork.llm.packing import best_fit, local_search, pack
 from knotwork.llm.quality import STATS, classify, describe, statistics, tail_probabilities
 from knotwork.llm.tokens import token_sizes
@@ -28,6 +29,21 @@ def test_pieces_cover_share_and_fit(strength, size, overlap):
     assert all(c == max(0, b - overlap) and d > b for (_, b), (c, d) in zip(pieces, pieces[1:]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 9000), st.integers(1, 1200), st.integers(0, 1199))
+def test_least_pieces_where_no_break_constrains_them(n, size, overlap):
+    overlap = min(overlap, size - 1)
+    if n > 60 * (size - overlap):
+        n = 60 * (size - overlap)
+    strength = np.zeros(n, dtype=np.int8)
+    strength[-1] = 3
+    pieces = cut_points(strength, size, overlap)
+    assert len(pieces) == 1 + max(0, math.ceil((n - size) / (size - overlap)))
+    assert all(b - a <= size for a, b in pieces)
+    lengths = [b - a for a, b in pieces]
+    assert max(lengths) - min(lengths) <= 2
+
+
 def test_cuts_fall_on_breaks():
     text = " ".join(["word " * 9 + "end."] * 12)
     starts, ends, strength = boundaries(text)
@@ -76,14 +92,38 @@ def test_pack_whole(spark):
     assert pack(items.limit(0), tiers).count() == 0
 
 
-def test_pfair_keeps_every_source_within_a_block():
-    counts = frame_counts({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 200)
-    assert sum(counts.values()) == 200
-    done = Counter()
-    for slot, s in enumerate(pfair(counts), 1):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.fractions(min_value=Fraction(1, 5000), max_value=3), min_size=1, max_size=8), st.integers(1, 3000))
+def test_every_prefix_of_the_mix_is_within_a_block(raw, slots):
+    weights = {str(i): w / sum(raw) for i, w in enumerate(raw)}
+    needs = {s: int(w * slots) + 1 for s, w in weights.items()}
+    order, done = pfair(weights, needs), Counter()
+    for t, s in enumerate(order[:slots], 1):
         done[s] += 1
-        assert all(abs(done[k] - counts[k] * slot / 200) < 1 for k in counts)
-    assert done == counts
+        assert all(abs(done[k] - w * t) < 1 for k, w in weights.items())
+    assert Counter(order) == needs
+
+
+def test_mix_follows_its_weights_everywhere(spark):
+    """Thirds and a small source: at every prefix of the mix's slots the shares hold, with many blocks and with few."""
+    rows = [(i, "abcd"[i % 4], 10) for i in range(4000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 1 / 3, 1), ("b", 1 / 3, 1), ("c", 0.3333, 1), ("d", 0.0004, 9)], "source string, target_share double, max_repeats int")
+    for most in (1 << 20, 64):
+        got = mix(sizes, targets, block=20, most_slots=most).collect()
+        seen = Counter((slot, r.source) for r in got for slot in r.slots)
+        assert len({s for slot, s in seen}) == 4 and max(Counter(slot for slot, _ in seen).values()) == 1
+        if most == 64:
+            assert max(slot for slot, _ in seen) <= 64
+
+
+def test_packing_never_gathers_a_tier(spark):
+    """Items over half the capacity cannot share a container: they stay in their groups."""
+    items = spark.createDataFrame([(i, 60) for i in range(200)], "doc_id bigint, tokens bigint")
+    got = pack(items, spark.createDataFrame([("t", 100)], "tier string, capacity_tokens int"), group=20).collect()
+    assert len(got) == 200 and len({r.container for r in got}) == 200
+    groups = Counter(r.container.rsplit("-", 1)[0] for r in got)
+    assert len(groups) == 10 and max(groups.values()) < 45
 
 
 def test_mix(spark):
