@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.text import compact, normalise, terms
+from knotwork.functions.text import compact, compared_unit_slug, normalise, terms
+from knotwork.operators.instances import number_slug
 from knotwork.session import durable
 
 FACTS = 5_000  # gold facts that one pass ranks for
@@ -108,3 +109,30 @@ def majority_label(judgements: DataFrame, key: str, label: str, order: dict[str,
 def rollup(judged: DataFrame, by: list[str]) -> DataFrame:
     """Strict and soft coverage, mean support and integrity of judged facts."""
     return judged.groupBy(*by).agg(F.count("*").alias("facts"), F.round(F.avg((F.col("label") == "SUPPORTED").cast("double")), 4).alias("strict"), F.round(F.avg("support"), 4).alias("soft"), F.round(F.avg("integrity"), 4).alias("integrity"))
+
+
+# Fixed values, in order: words of a condition's type (normalised), the id's stem, and the unit's slug or the unit that stands in for a missing one.
+EXPECTED_CONDITIONS = [(["current"], "current_density", "ma_cm2", None), (["temperature"], "temperature", "c", None), (["cycle"], "cycle_number", "cycle", None), (["ph"], "ph", "", None), (["bi"], "bi3_concentration", None, "mmol/L"), (["vanadium"], "vanadium_concentration", None, "mol/L"), (["acid", "h2so4"], "acid_concentration", None, "mol/L")]
+# Fixed values, in order: names and words of a metric's type, the id's stem, the unit's slug, whether whole numbers keep a decimal.
+EXPECTED_METRICS = [(["ce"], ["coulombic"], "ce", "percent", True), (["ve", "voltaic efficiency"], ["voltage efficiency"], "ve", "percent", True), (["ee"], ["energy efficiency"], "ee", "percent", True), ([], ["capacity retention"], "capacity_retention", "percent", True), ([], ["iec", "ion exchange"], "iec", "mmol_g", False), ([], ["contact angle"], "contact_angle", "degree", False), ([], ["polarization voltage", "voltage loss"], "polarization_voltage_delta", "v", False)]
+
+
+def expected_condition(kind: Column, value: Column, unit: Column) -> Column:
+    """The id a required condition is looked for under; one that is an id already stays."""
+    said, number = normalise(kind), number_slug(value)
+    stem = lambda name: F.concat(F.lit(f"condition:{name}_"), number)
+    rows = []
+    for words, name, slug, fallback in EXPECTED_CONDITIONS:
+        tail = F.lit(f"_{slug}") if slug else F.lit("") if slug == "" else F.concat(F.lit("_"), compared_unit_slug(F.when(F.coalesce(unit, F.lit("")) == "", fallback).otherwise(unit)))
+        rows.append(F.when(said.rlike("|".join(words)), F.concat(stem(name), tail)))
+    other = F.concat(F.lit("condition:"), F.replace(compact(kind), F.lit("/"), F.lit("_")), F.lit("_"), number, F.lit("_"), compared_unit_slug(unit))
+    return F.when(F.startswith(kind, F.lit("condition:")), kind).otherwise(F.coalesce(*rows, other))
+
+
+def expected_metric(kind: Column, value: Column, unit: Column) -> Column:
+    """The id a required metric is looked for under; one that is an id already stays."""
+    said, number = normalise(kind), number_slug(value)
+    whole = F.when(value == F.floor(value), F.replace(F.concat(value.cast("bigint").cast("string"), F.lit("_0")), F.lit("-"), F.lit("minus_"))).otherwise(number)
+    rows = [F.when(said.isin(*names) if names and not words else said.isin(*(names or ["\0"])) | said.rlike("|".join(words)), F.concat(F.lit(f"measurement:{stem}_"), whole if keeps else number, F.lit(f"_{slug}"))) for names, words, stem, slug, keeps in EXPECTED_METRICS]
+    other = F.concat(F.lit("measurement:"), F.replace(compact(kind), F.lit("/"), F.lit("_")), F.lit("_"), number, F.lit("_"), compared_unit_slug(unit))
+    return F.when(kind.rlike("^(metric|measurement|evidence|degradation):"), kind).otherwise(F.coalesce(*rows, other))

@@ -1,23 +1,35 @@
-"""Mentions resolved against a registry: exact alias, fuzzy candidates, negative rules, decision; and numeric instances."""
+"""Mentions resolved against a registry: numeric instances, exact alias, fuzzy candidates, negative rules, decision, adjudication."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.functions.readable import match_key
 from knotwork.functions.sizes import small_side
-from knotwork.functions.text import match_key, number_slug, snake, unit_slug
+from knotwork.operators import instances as inst
+from knotwork.operators.instances import CONDITIONS, METRICS
+from knotwork.session import durable
 
-REGISTRY_ROWS = 50_000  # names of the registry that one task's fuzzy search may hold
+REGISTRY_ROWS = 50_000  # names of the registry that one task's fuzzy search holds; longer registries are searched shard by shard
 AUTO, REVIEW = 95.0, 85.0
-# Types that also match a broader one.
-BROADER = {"PERFORMANCE_METRIC": "METRIC", "OPERATING_CONDITION": "CONDITION"}
-# Ordered rules from a text's compact key to the metric it names.
-METRIC_RULES = [("polarizationvoltage|voltageloss|voltagedrop", "metric:polarization_voltage"), ("peakseparation", "metric:peak_separation"), ("^ce|coulombic", "metric:ce"), ("^ve|voltageefficiency|voltaicefficiency", "metric:ve"), ("^ee|energy", "metric:ee"), ("capacityretention", "metric:capacity_retention"), ("energydensity", "metric:energy_density"), ("ionexchangecapacity|^iec", "metric:ion_exchange_capacity"), ("arearesistance", "metric:area_resistance"), ("ohmicresistance|ohmicloss|ohmicdrop", "metric:ohmic_resistance"), ("chargetransferresistance|rct", "metric:charge_transfer_resistance"), ("membraneresistance", "metric:membrane_resistance"), ("surfaceroughness", "metric:surface_roughness"), ("contactangle|wettability", "metric:contact_angle")]
-CONDITION_RULES = [("ma/cm2|currentdensity|appliedcurrent", "condition:current_density"), ("flowrate|pumprate", "condition:flow_rate"), ("vanadium.*(mol/l|concentration)", "condition:vanadium_concentration"), ("(h2so4|acid).*(mol/l|concentration)", "condition:acid_concentration"), ("temperature|degc|°c", "condition:temperature"), ("cycle", "condition:cycle_number"), ("ph", "condition:ph"), ("mol/l|concentration", "condition:electrolyte_concentration")]
+# Types that are looked up under a broader one.
+BROADER = {"SPECIES": "ACTIVE_SPECIES", "ADDITIVE": "ACTIVE_SPECIES", "PERFORMANCE_METRIC": "METRIC", "OPERATING_CONDITION": "CONDITION", "MECHANISM": "DEGRADATION"}
+# Terms that name no entity by themselves.
+GENERIC_TERMS = ["electrode", "membrane", "electrolyte", "additive", "active species", "vanadium ions", "carbon electrode", "carbon felt", "flow battery", "efficiency", "resistance", "concentration", "current density", "temperature", "system", "material", "metric", "condition", "flow rate"]
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What must not be merged: generic terms, pairs (left, right, reason) of ids or names, groups of ids of high risk."""
+
+    generic: tuple[str, ...] = tuple(GENERIC_TERMS)
+    pairs: tuple[tuple[str, str, str], ...] = ()
+    groups: tuple[tuple[str, ...], ...] = ()
 
 
 def registry(entities: DataFrame) -> DataFrame:
@@ -26,16 +38,21 @@ def registry(entities: DataFrame) -> DataFrame:
     return entities.select("canonical_id", "entity_type", "semantic_group", "parent_id", F.col("entity_no").alias("place"), F.explode(F.array_distinct(F.transform(every, match_key))).alias("key")).where("key <> ''")
 
 
+def _wide(kind: Column) -> Column:
+    """The type a type is looked up under: its broader one, else itself."""
+    upper = F.upper(kind)
+    return F.coalesce(*[F.when(upper == a, b) for a, b in BROADER.items()], kind)
+
+
 def exact(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """mention_id, canonical_id: the registry's entry of the mention's own type, else of the broader type; the first entry wins.
 
     A mention without a type meets the whole registry, types in the order of their names.
     """
-    broader = F.coalesce(*[F.when(F.col("entity_type") == a, b) for a, b in BROADER.items()])
-    keyed = mentions.where("name is not null").select("mention_id", match_key(F.col("name")).alias("key"), F.nullif(F.col("entity_type"), F.lit("")).alias("entity_type"))
+    keyed = mentions.where("name is not null").select("mention_id", match_key(F.col("name")).alias("key"), F.upper(F.when(F.col("entity_type") != "", F.col("entity_type"))).alias("entity_type"))
     entries = small_side(names.select("key", "entity_type", "canonical_id", "place"))
-    typed = keyed.where("entity_type is not null").select("mention_id", "key", F.posexplode(F.array_compact(F.array("entity_type", broader))).alias("priority", "entity_type")).join(entries, ["key", "entity_type"])
-    open_type = keyed.where("entity_type is null").select("mention_id", "key", F.lit(len(BROADER)).alias("priority")).join(entries, "key")
+    typed = keyed.where("entity_type is not null").select("mention_id", "key", F.posexplode(F.array_distinct(F.array("entity_type", _wide(F.col("entity_type"))))).alias("priority", "entity_type")).join(entries, ["key", "entity_type"])
+    open_type = keyed.where("entity_type is null").select("mention_id", "key", F.lit(2).alias("priority")).join(entries, "key")
     return typed.unionByName(open_type).groupBy("mention_id").agg(F.min_by("canonical_id", F.struct("priority", "entity_type", "place")).alias("canonical_id"))
 
 
@@ -81,114 +98,214 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
-def fuzzy(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
-    """name, entity_type, rank, canonical_id, score, ratio, token_set, length_ratio: the k best entries of the type or the broader one for each distinct mention, of the whole registry for one without a type.
+FUZZY = "name string, entity_type string, canonical_id string, place bigint, score double, ratio double, token_set double, length_ratio double"
 
-    The registry is held in each task; more than REGISTRY_ROWS names are refused, and the sharded search by edit
-    distance is the way for longer lists.
-    """
-    every = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = entities.select("entity_type", "canonical_id", "entity_no", F.explode(every).alias("entry")).limit(REGISTRY_ROWS + 1).collect()
-    if len(rows) > REGISTRY_ROWS:
-        raise ValueError(f"a registry of more than {REGISTRY_ROWS} names")
+
+def _search(rows: list[tuple], k: int):
     by_type: dict[str, list] = {}
-    for r in rows:
-        by_type.setdefault(r[0], []).append((r[1], r[2], r[3].lower()))
+    for kind, canonical_id, place, entry in rows:
+        by_type.setdefault(kind, []).append((canonical_id, place, entry))
     whole = [entry for held in by_type.values() for entry in held]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, kind in batch.itertuples(index=False, name=None):
-                low, best = name.lower(), {}
-                asked = [*by_type.get(kind, ()), *by_type.get(BROADER.get(kind), ())] if kind else whole
-                first = [(max(p := ratio(low, entry), t := token_set_ratio(low, entry)), p, t, canonical_id, place, entry) for canonical_id, place, entry in asked]
+            for name, kind, key, wide in batch.itertuples(index=False, name=None):
+                best: dict[str, tuple] = {}
+                asked = by_type.get(wide, ()) if kind else whole
+                first = [(max(p := ratio(key, entry), t := token_set_ratio(key, entry)), p, t, canonical_id, place, entry) for canonical_id, place, entry in asked]
                 for least, plain, tokens, canonical_id, place, entry in sorted(first, key=lambda x: (-x[0], x[4])):
                     held = sorted((v[0] for v in best.values()), reverse=True)
-                    shorter, common = min(len(low), len(entry)), plain * (len(low) + len(entry)) / 200
+                    shorter, common = min(len(key), len(entry)), plain * (len(key) + len(entry)) / 200
                     # No window has more in common than the whole; skip the windows where they cannot change the k best.
                     most = 200 * common / (shorter + common) if common else 0.0
                     worth = most > least and not (len(held) >= k and most < held[k - 1])
-                    score = round(max(least, partial_ratio(low, entry)) if worth else least, 4)
+                    score = round(max(least, partial_ratio(key, entry)) if worth else least, 4)
                     if canonical_id not in best or score > best[canonical_id][0]:
-                        best[canonical_id] = (score, -place, round(plain, 4), round(tokens, 4), round(shorter / max(1, len(low), len(entry)), 4))
+                        best[canonical_id] = (score, -place, round(plain, 4), round(tokens, 4), round(shorter / max(1, len(key), len(entry)), 4))
                 top = sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1]))[:k]
-                out += [(name, kind, i, c, v[0], v[2], v[3], v[4]) for i, (c, v) in enumerate(top)]
-            yield pd.DataFrame(out, columns=["name", "entity_type", "rank", "canonical_id", "score", "ratio", "token_set", "length_ratio"])
+                out += [(name, kind, c, -v[1], v[0], v[2], v[3], v[4]) for c, v in top]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FUZZY.split(", ")])
+
+    return run
 
-    return mentions.where("name is not null").select("name", "entity_type").distinct().repartition(2 * entities.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "name string, entity_type string, rank int, canonical_id string, score double, ratio double, token_set double, length_ratio double")
 
+def fuzzy(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
+    """name, entity_type, rank, canonical_id, score, ratio, token_set, length_ratio: the k best entries of the mention's (broader) type for each distinct mention, of the whole registry for one without a type.
 
-def blocked(pairs: DataFrame, names: DataFrame, generic: list[str]) -> DataFrame:
+    Matching keys are compared. A registry of up to REGISTRY_ROWS names is held in each task; a longer one is searched
+    in shards of that size, whose k best are ranked again.
+    """
+    names = registry(entities)
+    total = names.count()
+    shards = max(1, -(-total // REGISTRY_ROWS))
+    asked = mentions.where("name is not null").select("name", "entity_type").distinct().select("name", "entity_type", match_key(F.col("name")).alias("key"), _wide(F.col("entity_type")).alias("wide"))
+    asked = durable(asked.repartition(2 * entities.sparkSession.sparkContext.defaultParallelism))
+    found = None
+    for shard in range(shards):
+        part = names if shards == 1 else names.where(F.pmod(F.xxhash64("canonical_id"), F.lit(shards)) == shard)
+        rows = [tuple(r) for r in part.select("entity_type", "canonical_id", "place", "key").collect()]
+        hits = asked.mapInPandas(_search(rows, k), FUZZY)
+        found = hits if found is None else found.unionByName(hits)
+    order = Window.partitionBy("name", "entity_type").orderBy(F.desc("score"), "place")
+    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).drop("place")
+
+
+def blocked(pairs: DataFrame, names: DataFrame, rules: Rules | list[str]) -> DataFrame:
     """pairs (name, canonical_id) with `reason` or null: negative rules in order.
 
-    A mention that is another member of the candidate's family by its exact name, a generic term, or a composite
-    (with / or @) that contains one of the candidate's names, must not be merged.
+    A pair of the rules' list; a mention that by its exact name is another member of a group of high risk, or of the
+    candidate's family in the registry; a generic term; a composite (with / or @) that contains one of the candidate's
+    names: these must not be merged. `rules` may be a list of generic terms only.
     """
+    rules = rules if isinstance(rules, Rules) else Rules(generic=tuple(rules))
+    spark = pairs.sparkSession
     keyed = pairs.select("name", "canonical_id", match_key(F.col("name")).alias("key")).distinct()
     family = small_side(names.groupBy("canonical_id").agg(F.first("parent_id").alias("family"), F.collect_set("key").alias("keys")))
-    own = small_side(names.groupBy("key").agg(F.min("canonical_id").alias("exact_id"), F.min_by("parent_id", "canonical_id").alias("exact_family")))
+    own = small_side(names.groupBy("key").agg(F.min_by("canonical_id", "place").alias("exact_id"), F.min_by("parent_id", "place").alias("exact_family")))
     rows = keyed.join(family, "canonical_id", "left").join(own, "key", "left")
-    held = F.array_contains("keys", F.col("key"))
-    sibling = F.col("family").isNotNull() & (F.col("exact_family") == F.col("family")) & (F.col("exact_id") != F.col("canonical_id"))
+    both = [(left, right, reason, n) for n, (left, right, reason) in enumerate(rules.pairs)]
+    both += [(right, left, reason, n) for left, right, reason, n in both]
+    listed = spark.createDataFrame(both, "canonical_id string, side string, pair_reason string, n int")
+    held_names = names.select(F.col("canonical_id").alias("side"), F.col("key").alias("side_key"))
+    sides = listed.join(held_names, "side", "left").select("canonical_id", F.coalesce("side_key", match_key(F.col("side"))).alias("key"), "pair_reason", "n").groupBy("canonical_id", "key").agg(F.min_by("pair_reason", "n").alias("pair_reason"))
+    rows = rows.join(small_side(sides), ["canonical_id", "key"], "left")
+    members = spark.createDataFrame([(c, g) for g, ids in enumerate(rules.groups) for c in ids], "member string, g int").groupBy("member").agg(F.collect_set("g").alias("groups"))
+    rows = rows.join(small_side(members.select(F.col("member").alias("canonical_id"), F.col("groups").alias("own_groups"))), "canonical_id", "left").join(small_side(members.select(F.col("member").alias("exact_id"), F.col("groups").alias("exact_groups"))), "exact_id", "left")
+    held = F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False))
+    related = F.coalesce(F.col("exact_family") == F.col("family"), F.lit(False)) | F.coalesce(F.arrays_overlap("own_groups", "exact_groups"), F.lit(False))
+    sibling = related & (F.col("exact_id") != F.col("canonical_id"))
     composite = F.col("key").rlike("[/@]") & ~held & F.exists("keys", lambda k: (k != "") & F.contains(F.col("key"), k))
-    reason = F.when(sibling, "high_risk_group").when(F.col("key").isin(generic) & ~held, "generic_term").when(composite, "component_or_variant")
+    generic = F.col("key").isin(*_generic_keys(rules)) if rules.generic else F.lit(False)
+    reason = F.coalesce("pair_reason", F.when(sibling, "high_risk_group").when(generic & ~held & F.col("keys").isNotNull(), "generic_term").when(composite, "component_or_variant"))
     return rows.select("name", "canonical_id", reason.alias("reason"))
 
 
-def cascade(mentions: DataFrame, entities: DataFrame, generic: list[str], auto: float = AUTO, review: float = REVIEW) -> DataFrame:
-    """mention_id, decision, canonical_id, method, confidence: exact, else fuzzy with rules, else a new entity.
+def _generic_keys(rules: Rules) -> list[str]:
+    """Generic terms are plain words: their keys are the words without blanks."""
+    return ["".join(t.lower().split()) for t in rules.generic]
+
+
+CANDIDATE = "canonical_id", "score", "ratio", "token_set", "length_ratio"
 
-    Only mentions that no alias matches reach the fuzzy search. Null names become new entities without an id.
+
+def cascade(mentions: DataFrame, entities: DataFrame, rules: Rules | list[str], auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """mention_id, decision, canonical_id, node_id, method, confidence, semantic_group, candidates, blocked_reason, need_review, value, low, high, unit.
+
+    In order: a numeric instance of a metric or condition; an exact alias, unless a negative rule blocks it; the best of
+    five fuzzy candidates: under the review score a new entity, blocked by a rule for review, merged if the scores, the
+    lengths, the absence of digits and the semantic groups allow it, else for review. canonical_id is null for what the
+    registry does not hold; node_id names it in any case (unresolved:... for review). Empty names become new entities.
     """
-    names = registry(entities)
-    found = exact(mentions, names)
-    open_rows = mentions.join(found, "mention_id", "left_anti").where("name is not null")
-    top = fuzzy(open_rows, entities, 1).where("rank = 0").drop("rank")
-    ruled = top.join(blocked(top.select("name", "canonical_id"), names, generic), ["name", "canonical_id"]).withColumnsRenamed({"name": "asked", "entity_type": "asked_type"})
-    free = (F.col("score") >= auto) & (F.col("ratio") >= 97) & (F.col("token_set") >= 95) & (F.col("length_ratio") >= 0.75) & ~F.col("name").rlike("[0-9]")
-    decision = F.when(F.col("score").isNull() | (F.col("score") < review), "CREATE_NEW").when(F.col("reason").isNotNull(), "NEED_REVIEW").when(free, "MERGE").otherwise("NEED_REVIEW")
-    judged = mentions.join(found, "mention_id", "left").withColumnRenamed("canonical_id", "exact_id").join(ruled, (F.col("name") == F.col("asked")) & F.col("entity_type").eqNullSafe(F.col("asked_type")), "left").withColumn("decision", F.when(F.col("exact_id").isNotNull(), "MERGE").otherwise(decision))
-    fuzzy_id = F.when(F.col("decision") != "CREATE_NEW", F.col("canonical_id"))
-    method = F.when(F.col("exact_id").isNotNull(), "exact_alias_match").when(F.col("decision") == "MERGE", "fuzzy_auto_match").when(F.col("decision") == "NEED_REVIEW", F.coalesce("reason", F.lit("fuzzy_review"))).otherwise("new")
-    confidence = F.when(F.col("exact_id").isNotNull(), 1.0).when(F.col("decision") == "MERGE", F.round(F.least("ratio", "token_set") / 100, 4)).otherwise(0.0)
-    return judged.select("mention_id", "decision", F.coalesce("exact_id", fuzzy_id).alias("canonical_id"), method.alias("method"), confidence.alias("confidence"))
-
-
-def adjudicate(judged: DataFrame, provider, schema: str = "mention_id bigint, decision string") -> DataFrame:
-    """Rows in need of review put to a provider: a callable on batches of pandas frames; others keep their decision."""
-    asked = judged.where("decision = 'NEED_REVIEW' and canonical_id is not null").select("mention_id", "canonical_id").mapInPandas(provider, schema).withColumnRenamed("decision", "ruling")
-    return judged.join(asked, "mention_id", "left").withColumn("decision", F.coalesce("ruling", "decision")).drop("ruling")
-
-
-def by_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The first rule whose pattern the text's compact key matches."""
-    key = match_key(text)
-    return F.coalesce(*[F.when(key.rlike(pattern), F.lit(name)) for pattern, name in rules])
-
-
-def instance_id(base: Column, value: Column, unit: Column) -> Column:
-    """Id of a numeric instance: the base, the number and the unit spelled as words."""
-    return F.concat_ws("_", base, number_slug(value), unit_slug(unit))
-
-
-def new_id(kind: Column, name: Column) -> Column:
-    """type:words of the name, for entities that the registry does not hold."""
-    return F.concat(F.lower(F.coalesce(kind, F.lit("unknown"))), F.lit(":"), snake(name))
-
-
-def quantity_range(text: Column) -> Column:
-    """struct(operator, value, low, high, confidence) of a text's first range or number."""
-    plain = F.replace(F.replace(text, F.lit("–"), F.lit("-")), F.lit("−"), F.lit("-"))
-    number = "[-+]?[0-9]+(?:\\.[0-9]+)?"
-    span = f"({number})\\s*(?:-|to|~)\\s*({number})"
-    first = F.regexp_extract(plain, f"({number})", 1)
-    a, b = F.regexp_extract(plain, span, 1), F.regexp_extract(plain, span, 2)
-    is_range = a != ""
-    x, y = a.try_cast("double"), b.try_cast("double")
-    sign = F.regexp_extract(plain, "(>=|<=|>|<|≥|≤|≈|~|about|approximately)", 1)
-    operator = F.when(is_range, "range").when(first == "", None).when(sign == "≥", ">=").when(sign == "≤", "<=").when(sign.isin("≈", "~", "about", "approximately"), "approx").when(sign != "", sign).otherwise("=")
-    return F.struct(operator.alias("operator"), F.when(~is_range, first.try_cast("double")).alias("value"), F.when(is_range, F.least(x, y)).alias("low"), F.when(is_range, F.greatest(x, y)).alias("high"), F.when(is_range, 0.9).when(first != "", 0.85).alias("confidence"))
+    rules = rules if isinstance(rules, Rules) else Rules(generic=tuple(rules))
+    names = durable(registry(entities))
+    measured = inst.instances(mentions)
+    rest = mentions.join(measured.select("mention_id"), "mention_id", "left_anti").select("mention_id", F.trim("name").alias("name"), F.when(F.col("entity_type") != "", F.col("entity_type")).alias("entity_type"))
+    found = durable(exact(rest, names))
+    open_rows = rest.join(found, "mention_id", "left_anti").where("name <> ''")
+    groups = small_side(entities.select("canonical_id", F.col("semantic_group").alias("group")))
+    ranked = durable(fuzzy(open_rows, entities, 5))
+    near = ranked.groupBy("name", "entity_type").agg(F.array_sort(F.collect_list(F.struct("rank", *CANDIDATE))).alias("c"))  # at most five entries
+    near = near.select(F.col("name").alias("asked"), F.col("entity_type").alias("asked_type"), F.transform("c", lambda x: F.struct(*[x[c].alias(c) for c in CANDIDATE])).alias("candidates"))
+    first = rest.join(found.withColumnRenamed("canonical_id", "exact_id"), "mention_id", "left").join(near, (F.col("name") == F.col("asked")) & F.col("entity_type").eqNullSafe(F.col("asked_type")), "left").drop("asked", "asked_type")
+    first = durable(first.withColumn("target", F.coalesce("exact_id", F.get("candidates", F.lit(0)).canonical_id)))
+    ruled = blocked(first.where("target is not null").select("name", F.col("target").alias("canonical_id")), names, rules).select(F.col("name").alias("asked"), F.col("canonical_id").alias("asked_id"), "reason")
+    rows = first.join(ruled, (F.col("name") == F.col("asked")) & (F.col("target") == F.col("asked_id")), "left").join(groups, F.col("target") == F.col("canonical_id"), "left").drop("canonical_id", "asked", "asked_id")
+    rows = inst.with_forms(rows, F.col("name"), "n")
+    rows = durable(rows.withColumns({"mention_group": inst.group_of(inst.views("n"), F.col("entity_type")), "generic": F.col("n_key").isin(*_generic_keys(rules)) if rules.generic else F.lit(False), "fresh": inst.new_id(F.coalesce("entity_type", F.lit("UNKNOWN")), F.col("name")), "words": inst.new_key(F.col("name"))}))
+    top = F.get("candidates", F.lit(0))
+    clash = (F.col("group").isNotNull() & F.col("mention_group").isNotNull() & (F.col("group") != F.col("mention_group"))) | (F.upper("entity_type").isin(*METRICS, *CONDITIONS) & (F.col("group").isNull() | F.col("mention_group").isNull()))
+    free = (top.score >= auto) & (top.ratio >= 97) & (top.token_set >= 95) & (top.length_ratio >= 0.75) & ~F.col("name").rlike("[0-9]") & ~F.col("generic") & ~F.coalesce(clash, F.lit(False))
+    is_exact, stopped = F.col("exact_id").isNotNull(), F.col("reason").isNotNull()
+    decision = F.when(is_exact & ~stopped, "MERGE").when(is_exact, "NEED_REVIEW").when(top.score.isNull() | (top.score < review), "CREATE_NEW").when(stopped, "NEED_REVIEW").when(free, "MERGE").otherwise("NEED_REVIEW")
+    rows = rows.withColumn("decision", decision)
+    merged, in_review = F.col("decision") == "MERGE", F.col("decision") == "NEED_REVIEW"
+    judged = rows.select(
+        "mention_id", "decision", F.when(merged, F.col("target")).alias("canonical_id"), F.when(merged, F.col("target")).when(in_review, F.concat(F.lit("unresolved:"), "words")).otherwise(F.col("fresh")).alias("node_id"),
+        F.when(merged & is_exact, "exact_alias_match").when(merged, "fuzzy_auto_match").when(in_review, "need_review").otherwise("create_new").alias("method"),
+        F.when(merged & is_exact, 1.0).when(merged, F.round(F.least(top.ratio, top.token_set) / 100, 4)).when(in_review & ~is_exact, F.round(top.score / 100, 4)).otherwise(0.0).alias("confidence"),
+        F.when(merged, F.col("group")).otherwise(F.col("mention_group")).alias("semantic_group"), F.when(is_exact, F.lit(None)).otherwise(F.col("candidates")).alias("candidates"), F.when(in_review, F.col("reason")).alias("blocked_reason"), in_review.alias("need_review"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("value", "double"), ("low", "double"), ("high", "double"), ("unit", "string"))],
+    )
+    counted = measured.select("mention_id", F.lit("MERGE").alias("decision"), "canonical_id", "node_id", "method", F.lit(1.0).alias("confidence"), F.col("grp").alias("semantic_group"), F.lit(None).cast(judged.schema["candidates"].dataType).alias("candidates"), F.lit(None).cast("string").alias("blocked_reason"), F.lit(False).alias("need_review"), "value", "low", "high", "unit")
+    return judged.unionByName(counted)
+
+
+RULING = "mention_id bigint, ruling string, target string, sure double, review boolean"
+
+
+def adjudicate(judged: DataFrame, mentions: DataFrame, entities: DataFrame, rules: Rules | list[str], provider, schema: str = RULING) -> DataFrame:
+    """Rows in need of review that have candidates and no blocking rule put to a provider; others keep their decision.
+
+    The provider maps batches of pandas frames (mention_id, name, entity_type, candidates) to RULING. A merge holds only
+    if its target is among the candidates, no negative rule forbids it and the semantic groups agree (both known for
+    metrics and conditions); else the row stays in review with the reason. CREATE_NEW and the other ways of keeping a
+    mention apart are taken as they are; anything else keeps the row in review. Without a reply nothing changes.
+    """
+    asked = durable(judged.where("decision = 'NEED_REVIEW' and size(candidates) > 0 and blocked_reason is null").join(mentions.select("mention_id", "name", "entity_type"), "mention_id"))
+    said = asked.select("mention_id", "name", "entity_type", F.col("candidates.canonical_id").alias("candidates")).mapInPandas(provider, schema)
+    rows = asked.join(said, "mention_id").withColumn("ruling", F.upper("ruling"))
+    merges = (F.col("ruling") == "MERGE") & F.array_contains("candidates.canonical_id", F.col("target"))
+    rows = durable(rows.withColumn("merges", F.coalesce(merges, F.lit(False))))
+    ruled = blocked(rows.where("merges").select("name", F.col("target").alias("canonical_id")), registry(entities), rules).select(F.col("name").alias("asked"), F.col("canonical_id").alias("asked_id"), "reason")
+    groups = small_side(entities.select(F.col("canonical_id").alias("held_id"), F.col("semantic_group").alias("held_group")))
+    rows = rows.join(ruled, (F.col("name") == F.col("asked")) & (F.col("target") == F.col("asked_id")), "left").join(groups, F.col("target") == F.col("held_id"), "left")
+    numeric = F.upper("entity_type").isin(*METRICS, *CONDITIONS)
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("held_group") != F.col("semantic_group"), "semantic_group_conflict").when(numeric & (F.col("held_group").isNull() | F.col("semantic_group").isNull()), "missing_semantic_group")
+    rows = rows.withColumn("why", F.when(F.col("merges"), reason))
+    ok = F.col("merges") & F.col("why").isNull()
+    apart = F.col("ruling").isin("CREATE_NEW", "CREATE_VARIANT", "CREATE_COMPONENT_RELATION", "CREATE_PARENT_CHILD", "NO_MERGE")
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(F.col("sure") != 0, F.col("sure")), F.col("confidence"))))
+    done = rows.select(
+        "mention_id", F.when(ok, "MERGE").when(apart, F.col("ruling")).otherwise("NEED_REVIEW").alias("decision"), F.when(ok, F.col("target")).alias("canonical_id"),
+        F.when(ok, F.col("target")).when(F.col("ruling") == "CREATE_NEW", inst.new_id(F.coalesce("entity_type", F.lit("UNKNOWN")), F.col("name"))).otherwise(F.col("node_id")).alias("node_id"),
+        F.when(F.col("why").isNotNull(), F.col("method")).otherwise("llm_judged").alias("method"), F.when(ok | apart, sure).otherwise(F.col("confidence")).alias("confidence"), F.when(ok, F.col("held_group")).otherwise(F.col("semantic_group")).alias("semantic_group"), "candidates", F.col("why").alias("blocked_reason"),
+        F.when(ok, F.coalesce("review", F.lit(False))).when(F.col("ruling") == "CREATE_NEW", False).when(apart, F.coalesce("review", F.lit(False))).otherwise(True).alias("need_review"), "value", "low", "high", "unit",
+    )
+    return judged.join(done.select("mention_id"), "mention_id", "left_anti").unionByName(done)
+
+
+def concepts_only(judged: DataFrame) -> DataFrame:
+    """Numeric instances collapsed to their concept: its id as node, no value or unit, the method marked."""
+    is_instance = F.startswith("node_id", F.lit("measurement:")) | F.col("node_id").rlike(r"^condition:.*_\d")
+    out = {"node_id": F.when(is_instance, F.col("canonical_id")).otherwise(F.col("node_id")), "method": F.when(is_instance, F.concat("method", F.lit("_concept_only"))).otherwise(F.col("method"))}
+    return judged.withColumns(out | {c: F.when(~is_instance, F.col(c)) for c in ("value", "low", "high", "unit")})
+
+
+def pipeline(mentions: DataFrame, entities: DataFrame, rules: Rules | list[str], provider=None, keep_instances: bool = True) -> DataFrame:
+    """node_id, canonical_id, entity_type, method, confidence, need_review, raw_name, mentions, description, n, value, low, high, unit, parsed: mentions end to end, one row a node.
+
+    Listed contact angles are taken apart, quantities parsed, mentions resolved (and adjudicated, if there is a
+    provider), numeric instances kept or collapsed, rows grouped by node: the first mention gives the base, spellings
+    and descriptions are joined in their order. If any step fails the mentions pass through unchanged, each its own
+    node, with the method `passed_through`. mentions: mention_id, name, entity_type and any of value, value_min,
+    value_max, unit, key_attribute, description.
+    """
+    text = "description" if "description" in mentions.columns else None
+    try:
+        rows = inst.angles(mentions)
+        key = F.struct("mention_id", "pos")
+        rows = durable(inst.enriched(rows.withColumns({"source_id": F.col("mention_id"), "mention_id": F.xxhash64(key)})))
+        judged = cascade(rows, entities, rules)
+        if provider is not None:
+            judged = adjudicate(durable(judged), rows, entities, rules, provider)
+        judged = judged if keep_instances else concepts_only(judged)
+        whole = durable(judged.drop("unit", "value").join(rows.select("mention_id", "source_id", "pos", "name", "entity_type", "parsed", *([text] if text else [])), "mention_id").join(judged.select("mention_id", "unit", "value"), "mention_id"))
+        order = F.struct("source_id", "pos")
+        base = lambda c: F.min_by(c, order).alias(c)
+        first = whole.groupBy("node_id").agg(*[base(c) for c in ("canonical_id", "entity_type", "method", "confidence", "need_review", "value", "low", "high", "unit", "parsed")], F.min_by("name", order).alias("raw_name"), F.count("*").alias("n"))
+        # Each spelling and description counts once, before they are listed.
+        listed = lambda c, sep: whole.where(F.trim(c) != "").groupBy("node_id", F.trim(c).alias("said")).agg(F.min(order).alias("at")).groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), sep).alias(c))
+        out = first.join(listed("name", " | ").withColumnRenamed("name", "mentions"), "node_id", "left")
+        out = out.join(listed(text, " | "), "node_id", "left") if text else out.withColumn("description", F.lit(None).cast("string"))
+        return durable(out.withColumn("error", F.lit(None).cast("string")))
+    except Exception as e:  # noqa: BLE001
+        none = lambda c, t="string": F.lit(None).cast(t).alias(c)
+        parsed = inst.with_quantity(mentions.limit(0), F.lit("")).schema["parsed"].dataType.simpleString()
+        return mentions.select(
+            F.concat(F.lit("raw:"), F.coalesce("name", F.lit(""))).alias("node_id"), none("canonical_id"), "entity_type", F.lit("passed_through").alias("method"), F.lit(0.0).alias("confidence"), F.lit(True).alias("need_review"), none("value", "double"), none("low", "double"), none("high", "double"), none("unit"), none("parsed", parsed),
+            F.col("name").alias("raw_name"), F.lit(1).cast("bigint").alias("n"), F.col("name").alias("mentions"), (F.col(text) if text else F.lit(None).cast("string")).alias("description"), F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"),
+        )
 
 
 def explode_values(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

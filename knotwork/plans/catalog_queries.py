@@ -11,7 +11,7 @@ from knotwork.operators import resolve as s
 from knotwork.operators.service import visible
 from knotwork.plans import bindings as b
 from knotwork.plans.bindings import HYPEREDGES
-from knotwork.plans.resolve_queries import _M, GENERIC
+from knotwork.plans.resolve_queries import _M, RULES
 from knotwork.plans.text_queries import _KEY
 from knotwork.session import table
 
@@ -71,16 +71,17 @@ def decompose_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjudicated(spark: SparkSession, d: str) -> DataFrame:
-    """The cascade with its open cases put to a provider; the offline one keeps the candidate of the least id order."""
+    """The cascade with its open cases put to a provider; the offline one takes the first candidate of a name of letters only."""
     rows = table(spark, d, "alias_match").select(F.col("match_id").alias("mention_id"), F.col("canonical_name").alias("name"), "entity_type").dropDuplicates(["mention_id"])
-    judged = s.cascade(rows, table(spark, d, "canonical_entity"), GENERIC)
+    entities = table(spark, d, "canonical_entity")
+    judged = s.cascade(rows, entities, RULES)
 
     def offline(batches):
         for batch in batches:
-            batch["decision"] = ["MERGE" if str(i) < "m" else "CREATE_NEW" for i in batch["canonical_id"]]
-            yield batch[["mention_id", "decision"]]
+            plain = batch["name"].str.fullmatch(r"[A-Za-z \-]+")
+            yield batch[["mention_id"]].assign(ruling=["MERGE" if x else "CREATE_NEW" for x in plain], target=[c[0] for c in batch["candidates"]], sure=0.9, review=False)
 
-    return s.adjudicate(judged, offline).groupBy("decision").agg(F.count("*").alias("n"))
+    return s.adjudicate(judged, rows, entities, RULES, offline).groupBy("decision", "method").agg(F.count("*").alias("n"), F.count_if(F.col("blocked_reason").isNotNull()).alias("blocked"))
 
 
 def merge_upsert_nodes(spark: SparkSession, d: str) -> DataFrame:

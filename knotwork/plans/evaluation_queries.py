@@ -148,12 +148,14 @@ def flat_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that a fact's conditions are expected under, by ordered rules on the type."""
-    from knotwork.functions.text import number_slug, unit_slug
-
+    """Ids that a fact's conditions and metrics are expected under, by ordered rules on the type; every quantity is taken as a condition and, with a metric's name, as a metric."""
     rows = table(spark, d, "parsed_quantity").where("value is not null and quantity_type is not null").select("quantity_id", "quantity_type", "value", "unit").distinct()
-    kind = F.when(F.contains("quantity_type", F.lit("current")), F.concat(F.lit("condition:current_density_"), number_slug(F.col("value")), F.lit("_ma_cm2"))).when(F.contains("quantity_type", F.lit("temperature")), F.concat(F.lit("condition:temperature_"), number_slug(F.col("value")), F.lit("_c"))).when(F.contains(F.lower("quantity_type"), F.lit("ph")), F.concat(F.lit("condition:ph_"), number_slug(F.col("value"))))
-    return rows.select("quantity_id", F.coalesce(kind, F.concat_ws("_", F.concat(F.lit("condition:"), "quantity_type"), number_slug(F.col("value")), unit_slug(F.col("unit")))).alias("expected_id"))
+    kinds = F.array(*[F.lit(k) for k in _EXPECTED_KINDS])
+    named = F.element_at(kinds, (F.col("quantity_id") % len(_EXPECTED_KINDS) + 1).cast("int"))
+    return rows.select("quantity_id", e.expected_condition(F.col("quantity_type"), F.col("value"), F.col("unit")).alias("condition_id"), e.expected_metric(named, F.col("value"), F.col("unit")).alias("metric_id"))
+
+
+_EXPECTED_KINDS = ["CE", "coulombic efficiency", "voltage efficiency", "EE", "capacity retention", "IEC", "contact angle", "polarization voltage", "metric:given", "power density"]
 
 
 QUERIES = {f.__name__: f for f in (evidence_views, evidence_rank, evidence_rank_all, evidence_rank_plain, evidence_rank_plain_all, fact_judge, fact_judge_all, coverage_at_k, coverage_at_k_all, missing_counts, missing_counts_all, judge_majority, judge_spread, qa_rollup, score_mean, win_rate, zip_answers, flat_report, expected_ids)}
@@ -177,7 +179,7 @@ _JUDGE = f"""req AS (SELECT fact_id, CASE WHEN starts_with(el, 'condition:') THE
     s AS (SELECT k, fact_id, count(*) FILTER (there) / greatest(1, count(*)) AS support, count(*) FILTER (there AND kind = 'conditions') / greatest(1, count(*) FILTER (kind = 'conditions')) AS integrity, coalesce(list_sort(list(kind || ':' || el) FILTER (NOT there)), []) AS missing FROM th GROUP BY ALL),
     jd AS (SELECT k, fact_id, CASE WHEN support >= 0.85 AND integrity >= 0.8 THEN 'SUPPORTED' WHEN support >= 0.45 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS label, round(support, 4) AS support, round(integrity, 4) AS integrity, missing FROM s)"""
 _J = "j AS (SELECT answer_id, mode, question_id, pos, lower(trim(j.judge_name)) AS judge, j.factual_correctness AS score, j.overall_score AS overall FROM (SELECT answer_id, mode, question_id, unnest(per_model_judgments) AS j, generate_subscripts(per_model_judgments, 1) - 1 AS pos FROM (SELECT DISTINCT answer_id, mode, question_id, per_model_judgments FROM evaluate_qa_answers)))"
-_SLUG = "replace(replace(regexp_replace(regexp_replace(printf('%.6f', value), '0+$', ''), '[.]$', ''), '-', 'minus_'), '.', '_')"
+_SLUG = "replace(replace(printf('%g', value), '-', 'minus_'), '.', '_')"
 ORACLES = {
     "evidence_views": f"WITH {_EV} SELECT evidence_id, arity, md5(text) AS text_md5 FROM ev WHERE arity = 2",
     "evidence_rank": f"WITH {_EV}, {_RANK.format(s=_HYB, k=10)} SELECT * FROM rk",
@@ -192,7 +194,11 @@ ORACLES = {
     "win_rate": f"WITH {_J}, f AS (SELECT mode, answer_id, max(score) FILTER (pos = 0) AS a, max(score) FILTER (pos = 1) AS b FROM j WHERE pos < 2 AND score IS NOT NULL GROUP BY ALL) SELECT mode, round(avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END), 4) AS win_rate, count(*) AS n FROM f WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY mode",
     "zip_answers": "WITH r AS (SELECT DISTINCT answer_id, mode, question_id FROM evaluate_qa_answers), n AS (SELECT *, (row_number() OVER (PARTITION BY question_id, mode ORDER BY answer_id))::INT AS nth FROM r), m AS (SELECT DISTINCT mode FROM r WHERE mode IS NOT NULL ORDER BY mode LIMIT 2) SELECT a.question_id, a.nth, a.answer_id AS left_id, b.answer_id AS right_id FROM n a JOIN n b ON a.question_id = b.question_id AND a.nth = b.nth WHERE a.mode = (SELECT min(mode) FROM m) AND b.mode = (SELECT max(mode) FROM m)",
     "flat_report": "SELECT coalesce(normalization_status, 'none') AS status, count(*) AS edges, count(*) FILTER (level_hg = 'High-order') AS high, count(*) FILTER (level_hg = 'Low-order') AS low, sum(coalesce(len(unresolved_vertices), 0))::BIGINT AS open_names FROM (SELECT DISTINCT edge_id, normalization_status, level_hg, unresolved_vertices FROM rewritten_hyperedge) GROUP BY 1",
-    "expected_ids": f"""WITH q AS (SELECT DISTINCT quantity_id, quantity_type, value, unit, {_NORMAL.format('unit')} AS n FROM parsed_quantity WHERE value IS NOT NULL AND quantity_type IS NOT NULL), u AS (SELECT *, {_SLUG} AS num, CASE WHEN n IN ('%', 'percent') THEN 'percent' WHEN n IN ('degree', 'deg') THEN 'degree' WHEN n IN ('cycle', 'cycles') THEN 'cycle' ELSE replace(replace(n, ' ', ''), '/', '_') END AS slug FROM q)
-        SELECT quantity_id, CASE WHEN contains(quantity_type, 'current') THEN 'condition:current_density_' || num || '_ma_cm2' WHEN contains(quantity_type, 'temperature') THEN 'condition:temperature_' || num || '_c' WHEN contains(lower(quantity_type), 'ph') THEN 'condition:ph_' || num
-        ELSE 'condition:' || quantity_type || '_' || num || '_' || CASE WHEN slug = '' THEN 'unitless' ELSE slug END END AS expected_id FROM u""",
+    "expected_ids": f"""WITH q AS (SELECT DISTINCT quantity_id, quantity_type, value, unit, {_NORMAL.format('unit')} AS n, replace({_NORMAL.format('quantity_type')}, ' ', '') AS ck, {_NORMAL.format('quantity_type')} AS nk, [{", ".join(f"'{k}'" for k in _EXPECTED_KINDS)}][(quantity_id % {len(_EXPECTED_KINDS)} + 1)::INT] AS mk FROM parsed_quantity WHERE value IS NOT NULL AND quantity_type IS NOT NULL),
+        u AS (SELECT *, {_SLUG} AS num, CASE WHEN value = floor(value) THEN replace(value::BIGINT || '_0', '-', 'minus_') ELSE {_SLUG} END AS whole, CASE WHEN n IN ('%', 'percent') THEN 'percent' WHEN n IN ('degree', 'deg') THEN 'degree' WHEN n IN ('cycle', 'cycles') THEN 'cycle' WHEN n = '' THEN 'unitless' ELSE replace(replace(n, ' ', ''), '/', '_') END AS slug FROM q)
+        SELECT quantity_id, CASE WHEN contains(nk, 'current') THEN 'condition:current_density_' || num || '_ma_cm2' WHEN contains(nk, 'temperature') THEN 'condition:temperature_' || num || '_c' WHEN contains(nk, 'cycle') THEN 'condition:cycle_number_' || num || '_cycle' WHEN contains(nk, 'ph') THEN 'condition:ph_' || num
+            WHEN contains(nk, 'bi') THEN 'condition:bi3_concentration_' || num || '_' || CASE WHEN coalesce(unit, '') = '' THEN 'mmol_l' ELSE slug END WHEN contains(nk, 'vanadium') THEN 'condition:vanadium_concentration_' || num || '_' || CASE WHEN coalesce(unit, '') = '' THEN 'mol_l' ELSE slug END
+            WHEN contains(nk, 'acid') OR contains(nk, 'h2so4') THEN 'condition:acid_concentration_' || num || '_' || CASE WHEN coalesce(unit, '') = '' THEN 'mol_l' ELSE slug END ELSE 'condition:' || replace(ck, '/', '_') || '_' || num || '_' || slug END AS condition_id,
+        CASE mk WHEN 'CE' THEN 'measurement:ce_' || whole || '_percent' WHEN 'coulombic efficiency' THEN 'measurement:ce_' || whole || '_percent' WHEN 'voltage efficiency' THEN 'measurement:ve_' || whole || '_percent' WHEN 'EE' THEN 'measurement:ee_' || whole || '_percent' WHEN 'capacity retention' THEN 'measurement:capacity_retention_' || whole || '_percent'
+            WHEN 'IEC' THEN 'measurement:iec_' || num || '_mmol_g' WHEN 'contact angle' THEN 'measurement:contact_angle_' || num || '_degree' WHEN 'polarization voltage' THEN 'measurement:polarization_voltage_delta_' || num || '_v' WHEN 'metric:given' THEN mk ELSE 'measurement:powerdensity_' || num || '_' || slug END AS metric_id FROM u""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import text as x
 from knotwork.operators import chunking as c
 from knotwork.operators import parsing as p
+from knotwork.plans import name_sql as n
 from knotwork.session import table
 
 
@@ -134,7 +135,7 @@ def eval_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_slug(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "parsed_quantity").select("unit").distinct().select("unit", x.unit_slug(F.col("unit")).alias("slug"))
+    return table(spark, d, "parsed_quantity").select("unit").distinct().select("unit", x.compared_unit_slug(F.col("unit")).alias("slug"))
 
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -178,12 +179,12 @@ def relation_rows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (chunk_windows, chunk_heading, doc_key_dedupe, new_doc_anti, chunk_key, context_window3, unique_contexts, char_truncate, token_budget, record_split, entity_record_parse, low_edge_parse, high_edge_parse, clean_text, is_number, json_extract, json_array_parse, relation_object_parse, keyword_parse, message_pack, score_extract, csv_rows, text_match_key, unit_words, eval_normalize, unit_slug, query_terms, hash_keys, redact_text, split_keys, strip_sources, safe_names, entity_rows, relation_rows)}
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(lower(coalesce({}, '')), '−', '-'), '–', '-'), '—', '-'), 'cm-2', 'cm2'), 'cm^2', 'cm2'), 'cm²', 'cm2'), 'ma\\s*(?:/|\\s+)\\s*cm\\s*-?\\s*2', 'ma/cm2', 'g'), 'mol\\s*(?:/|\\s+)\\s*l(?:-1)?', 'mol/l', 'g'), '°\\s*c|degc', 'c', 'g'), '[^a-z0-9.%/+:-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(lower(coalesce({}, '')), '−', '-'), '–', '-'), '—', '-'), 'cm-2', 'cm2'), 'cm^2', 'cm2'), 'cm²', 'cm2'), 'ma\\s*(?:/|\\s+)\\s*cm\\s*-?\\s*2', 'ma/cm2', 'g'), 'mol\\s*(?:/|\\s+)\\s*l(?:-1)?', 'mol/l', 'g'), 'mmol\\s*(?:/|\\s+)\\s*l(?:-1)?', 'mmol/l', 'g'), 'mmol\\s*(?:/|\\s+)\\s*g', 'mmol/g', 'g'), '°\\s*c|degc', 'c', 'g'), '[^a-z0-9.%/+:-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _CLEAN = _STRIP.format("regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')")
 _TOKENS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 _Q = "q AS (SELECT DISTINCT quantity_id, quantity_type, raw, value, min_value, max_value, unit, chunk_id FROM parsed_quantity)"
 _TERM_STOP = ", ".join(f"'{w}'" for w in x.TERM_STOP)
-_KEY = "regexp_replace(replace(replace(replace(lower({}), '−', '-'), '–', '-'), '—', '-'), '[\\s\"''`~!?,.;:()\\[\\]{{}}_]', '', 'g')"
+_KEY = n.key("{}").replace("{", "{{").replace("}", "}}").replace("{{}}", "{}", 1)
 ORACLES = {
     "chunk_windows": f"""WITH t AS (SELECT DISTINCT doc_id, {_TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, t, unnest(generate_series(0, len(t) - 1, 80)) AS start FROM t WHERE len(t) > 0)
         SELECT doc_id, (start // 80)::INT AS chunk_order_index, least(100, len(t) - start)::INT AS tokens, md5(array_to_string(t[start + 1 : start + 100], ' ')) AS content_md5 FROM s""",
@@ -212,7 +213,7 @@ ORACLES = {
     "score_extract": "SELECT p_partkey, [p_size, 7] AS scores FROM part",
     "csv_rows": "SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM part",
     "text_match_key": f"SELECT match_id, {_KEY.format('canonical_name')} AS match_key FROM (SELECT DISTINCT match_id, canonical_name FROM alias_match)",
-    "unit_words": f"WITH {_Q} SELECT quantity_id, regexp_replace(regexp_replace(regexp_replace(raw, '(?i)mA\\s*(?:/|\\s+)\\s*cm\\s*(?:\\^?\\s*-?\\s*2)', 'ma/cm2', 'g'), '(?i)\\bW\\s*(?:/|\\s+)\\s*cm\\s*(?:\\^?\\s*-?\\s*2)', 'w/cm2', 'g'), '(?i)mol\\s*(?:/|\\s+)\\s*L\\s*(?:\\^?\\s*-?\\s*1)?', 'mol/l', 'g') AS text FROM q",
+    "unit_words": f"WITH {_Q} SELECT quantity_id, {n.units('raw')} AS text FROM q",
     "eval_normalize": f"WITH {_Q} SELECT quantity_id, {_NORMAL.format('raw')} AS normal, replace({_NORMAL.format('raw')}, ' ', '') AS compact FROM q",
     "unit_slug": f"""WITH u AS (SELECT DISTINCT unit, {_NORMAL.format('unit')} AS n FROM parsed_quantity), s AS (SELECT unit, CASE WHEN n IN ('%', 'percent') THEN 'percent' WHEN n IN ('degree', 'deg') THEN 'degree' WHEN n IN ('cycle', 'cycles') THEN 'cycle' ELSE replace(replace(n, ' ', ''), '/', '_') END AS slug FROM u)
         SELECT unit, CASE WHEN slug = '' THEN 'unitless' ELSE slug END AS slug FROM s""",

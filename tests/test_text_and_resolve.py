@@ -81,12 +81,12 @@ def test_repair_adds_the_only_one(spark):
 
 
 def _registry(spark):
-    rows = [(1, "mem:n117", "Membrane 117", "MEMBRANE", "g", "mem:n", ["N-117"]), (2, "mem:n212", "Membrane 212", "MEMBRANE", "g", "mem:n", ["N-212"]), (3, "sys:a", "alpha flow battery", "SYSTEM", "s", None, []), (4, "metric:ce", "coulombic efficiency", "METRIC", "e", None, ["CE"])]
+    rows = [(1, "mem:n117", "Membrane 117", "MEMBRANE", "g", "mem:n", ["N-117"]), (2, "mem:n212", "Membrane 212", "MEMBRANE", "g", "mem:n", ["N-212"]), (3, "sys:a", "alphabetic redox flow battery", "SYSTEM", "s", None, []), (4, "metric:ce", "coulombic efficiency", "METRIC", "e", None, ["CE"])]
     return spark.createDataFrame(rows, "entity_no bigint, canonical_id string, canonical_name string, entity_type string, semantic_group string, parent_id string, aliases array<string>")
 
 
 def test_cascade_decides(spark):
-    rows = [(1, "n 117", "MEMBRANE"), (2, "alpha flow batery", "SYSTEM"), (3, "Membrane 118", "MEMBRANE"), (4, "something else", "SYSTEM"), (5, None, "SYSTEM"), (6, "CE", "PERFORMANCE_METRIC"), (7, "x", None)]
+    rows = [(1, "n 117", "MEMBRANE"), (2, "alphabetic redox flow batery", "SYSTEM"), (3, "Membrane 118", "MEMBRANE"), (4, "something else", "SYSTEM"), (5, None, "SYSTEM"), (6, "CE", "PERFORMANCE_METRIC"), (7, "x", None)]
     got = {r.mention_id: (r.decision, r.canonical_id) for r in resolve.cascade(spark.createDataFrame(rows, "mention_id bigint, name string, entity_type string"), _registry(spark), []).collect()}
     assert got[1][0] == "NEED_REVIEW" or got[1] == ("CREATE_NEW", None) or got[1][1] == "mem:n117"
     assert got[2] == ("MERGE", "sys:a")
