@@ -38,7 +38,7 @@ def p7_agreement(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_unresolved": p2_unresolved, "p7_found": p7_found, "p7_judges": p7_judges, "p7_agreement": p7_agreement}
 ORACLES = {
     # Krippendorff's alpha by its definition: coincidences of every pair of scores within an answer, ordinal distance.
-    "p7_agreement": """
+    "p7_agreement": r"""
         WITH a AS (SELECT DISTINCT ON (answer_id) answer_id, per_model_judgments AS js FROM evaluate_qa_answers WHERE answer_id IS NOT NULL),
         e AS (SELECT answer_id, generate_subscripts(js, 1) AS pos, unnest(js) AS j FROM a),
         u AS (SELECT answer_id, pos, lower(regexp_replace(j.judge_name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS name, j.factual_correctness AS score FROM e),
