@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import text as x
 from knotwork.functions.lookalike import fold, fold_py
 from knotwork.functions.units import number, parse, unit_of
+from knotwork.operators.instances import number_slug
 from knotwork.operators import chunking, evaluate, parsing, references, resolve, retrieval, service, vectors
 
 
@@ -52,8 +53,8 @@ def test_edge_weight_defaults(spark):
 def test_scalar_functions(spark):
     assert _one(spark, x.match_key(F.lit("Ion Exchange–Capacity (IEC)_"))) == "ionexchange-capacityiec"
     assert _one(spark, x.normalise(F.lit("80 mA cm−2, 1 mol L-1"))) == "80 ma/cm2 1 mol/l"
-    assert _one(spark, x.number_slug(F.lit(-1.50).cast("double"))) == "minus_1_5"
-    assert _one(spark, x.unit_slug(F.lit("mA cm-2"))) == "ma_cm2"
+    assert _one(spark, number_slug(F.lit(-1.50).cast("double"))) == "minus_1_5"
+    assert _one(spark, x.compared_unit_slug(F.lit("mA cm-2"))) == "ma_cm2"
     assert _one(spark, x.redact(F.lit('token: "abc" x'))) == 'token: "***" x'
     assert _one(spark, x.clean(F.lit(" a&amp;b\x01 "))) == "a&b"
     assert _one(spark, x.match_key(F.lit(None).cast("string"))) is None
