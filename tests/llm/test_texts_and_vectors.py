@@ -222,6 +222,48 @@ def test_neighbours_against_brute_force(spark, monkeypatch, block):
     assert len(want) > 300 and len(want & found) / len(want) >= 0.95
 
 
+def test_second_centres_keep_cells_small(spark, monkeypatch):
+    """With more vectors than the sample's centres can share out, cells get a second centre and recall holds."""
+    monkeypatch.setattr(neighbours, "CELL", 25)
+    monkeypatch.setattr(neighbours, "SAMPLE", 800)
+    points = _cloud(4000)
+    seen, fit = {}, neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a, **k: seen.setdefault("model", fit(*a, **k)))
+    rows = spark.createDataFrame([(i, "s", p.tolist()) for i, p in enumerate(points)], "vec_id bigint, namespace string, embedding array<float>")
+    got = {(r.query, r.other) for r in neighbours.most_similar(rows, 10, 0.85).collect()}
+    assert len(seen["model"].second["s"]) >= 2
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -1)
+    want = {(i, j) for i in range(len(points)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.85}
+    assert len(want) > 1000 and len(want & got) / len(want) >= 0.9
+
+
+@pytest.mark.parametrize("asking", [16_000, 60])
+def test_copies_of_a_vector(spark, monkeypatch, asking):
+    """A third of the rows are one vector, others come in twos: every row has its ten nearest, ties to the smaller ids."""
+    monkeypatch.setattr(neighbours, "ASKING", asking)
+    monkeypatch.setattr(neighbours, "BLOCK", asking)
+    points = _cloud(300)
+    points[100:200] = points[100]
+    points[200:240] = points[240:280]
+    order = np.random.default_rng(1).permutation(300)
+    rows = spark.createDataFrame([(int(order[i]), "s", p.tolist()) for i, p in enumerate(points)], "vec_id bigint, namespace string, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.most_similar(rows, 10).collect():
+        got[r.query].append((-round(r.similarity, 4), r.other))
+    x = np.empty((300, 96), dtype=np.float32)
+    x[order] = points
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    s = np.round(unit @ unit.T, 4)
+    assert len(got) == 300
+    for i in range(300):
+        want = sorted((-s[i, j], j) for j in range(300) if j != i)[:10]
+        assert len(got[i]) == 10 and np.allclose([w[0] for w in want], sorted(g[0] for g in got[i]), atol=2e-4)
+        if s[i].max() > 0.99999 and want[-1][0] < -0.99999:
+            assert [w[1] for w in want] == [g[1] for g in sorted(got[i])]
+
+
 def test_anisotropic_codes_cut_the_parallel_error():
     x = _cloud(2000)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
