@@ -17,6 +17,7 @@ class Settings:
     """What a run switches on and its limits."""
 
     mode: str = "hyper"
+    prompts: str = "chemistry"
     chunk_tokens: int = 1200
     overlap_tokens: int = 100
     top_k: int = 60
@@ -29,6 +30,28 @@ class Settings:
         return replace(self, **changes)
 
 
+# Experiment modes: query mode, prompt profile, and whether names are normalised, numeric instances kept, hyperedges repaired, evidence ranked by all features.
+PRESETS = {
+    "graph_final": ("graph", "chemistry", True, True, True, True),
+    "hyper_base": ("hyper", "generic_json", False, False, False, False),
+    "hyper_chem_prompt": ("hyper", "chemistry", False, False, False, False),
+    "hyper_norm": ("hyper", "chemistry", True, False, False, False),
+    "hyper_final": ("hyper", "chemistry", True, True, True, True),
+    "final_no_measurement": ("hyper", "chemistry", True, False, True, True),
+    "final_no_repair": ("hyper", "chemistry", True, True, False, True),
+    "final_no_rerank": ("hyper", "chemistry", True, True, True, False),
+    "final_full": ("hyper", "chemistry", True, True, True, True),
+}
+
+
+def preset(name: str) -> Settings:
+    """The settings of an experiment mode; an unknown one is refused."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown mode {name!r}; one of {sorted(PRESETS)}")
+    mode, prompts, normalise, instances, repair, hybrid = PRESETS[name]
+    return Settings(mode=mode, prompts=prompts, normalise=normalise, numeric_instances=instances, repair=repair, hybrid_rank=hybrid)
+
+
 def domains(root: str) -> list[str]:
     """Names of the domain packs under a folder: sub-folders with a config.json."""
     base = Path(root)

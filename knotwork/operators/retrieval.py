@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.sizes import small_side
 from knotwork.operators.chunking import tokens
 from knotwork.operators.graph import incidence, vertex_degree
+from knotwork.operators.prefix import running_totals
 
 MODES = ("hyper", "hyper-lite", "graph", "naive")
 
@@ -31,10 +32,16 @@ def count_tokens(column: str) -> F.Column:
     return F.size(tokens(F.coalesce(F.col(column), F.lit(""))))
 
 
-def prefix(df: DataFrame, order: list, size: str, budget: int) -> DataFrame:
-    """The longest prefix of a small ranked frame whose sizes sum to the budget at most, with `place` from 0."""
-    w = Window.orderBy(*order)
-    return df.withColumns({"place": F.row_number().over(w) - 1, "upto": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}).where(F.col("upto") <= budget).drop("upto")
+def prefix(df: DataFrame, order: list[str], size: str, budget: int) -> DataFrame:
+    """The longest prefix of the ranked frame whose sizes sum to the budget at most, with `place` from 0.
+
+    Order columns go up, those written with a minus before them (numbers) down. The sums run over range partitions, so
+    a hub's many rows are ranked in many tasks.
+    """
+    keys = {f"kw_o{i}": -F.col(c[1:]) if c.startswith("-") else F.col(c) for i, c in enumerate(order)}
+    rows = df.withColumns(keys | {"kw_all": F.lit(0), "kw_one": F.lit(1)})
+    placed = running_totals(rows, "kw_all", list(keys), {size: "kw_before", "kw_one": "place"})
+    return placed.where(F.col("kw_before") + F.col(size) <= budget).drop(*keys, "kw_all", "kw_one", "kw_before").withColumn("place", F.col("place").cast("int"))
 
 
 def entity_rows(hits: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def edges_of_entities(hits: DataFrame, edges: DataFrame, budget: int) -> DataFra
     """place, edge_id, arity, strength: edges of the hits, larger first, then stronger, cut on their descriptions' tokens."""
     ids = incidence(edges).join(small_side(hits.select("vertex_id")), "vertex_id", "left_semi").select("edge_id").distinct()
     rows = edges.join(ids, "edge_id", "left_semi").select("edge_id", F.size("vertices").alias("arity"), "strength", count_tokens("description").alias("size"))
-    return prefix(rows, [F.desc("arity"), F.desc("strength"), "edge_id"], "size", budget).drop("size")
+    return prefix(rows, ["-arity", "-strength", "edge_id"], "size", budget).drop("size")
 
 
 def units_of_entities(hits: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
@@ -62,15 +69,18 @@ def units_of_entities(hits: DataFrame, edges: DataFrame, sources: DataFrame, chu
     near = small_side(hits.select("vertex_id", F.col("place").alias("hit")))
     own = sources.join(near, "vertex_id").select("vertex_id", "hit", "chunk_id")
     owner = own.groupBy("chunk_id").agg(F.min("hit").alias("hit"))
-    around = incidence(edges).join(near, "vertex_id").select("hit", "edge_id").join(incidence(edges), "edge_id").join(sources, "vertex_id").groupBy("hit", "chunk_id").agg(F.count("*").alias("shared"))
+    asked = incidence(edges).join(near, "vertex_id").select("hit", "edge_id")
+    # Members are counted by edge and chunk once, before the hits that share the edge multiply them.
+    by_edge = incidence(edges).join(asked.select("edge_id").distinct(), "edge_id", "left_semi").join(sources, "vertex_id").groupBy("edge_id", "chunk_id").agg(F.count("*").alias("n"))
+    around = asked.join(by_edge, "edge_id").groupBy("hit", "chunk_id").agg(F.sum("n").alias("shared"))
     rows = owner.join(around, ["hit", "chunk_id"], "left").join(chunks, "chunk_id").select("chunk_id", "hit", F.coalesce("shared", F.lit(0)).alias("shared"), count_tokens("content").alias("size"))
-    return prefix(rows, ["hit", F.desc("shared"), "chunk_id"], "size", budget).select("place", "chunk_id", "hit", "shared")
+    return prefix(rows, ["hit", "-shared", "chunk_id"], "size", budget).select("place", "chunk_id", "hit", "shared")
 
 
 def relation_rows(hits: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
     """place, edge_id, vertices, arity, strength of the hit edges, larger first, then stronger, cut on tokens. hits: edge_id."""
     rows = edges.join(small_side(hits.select("edge_id").distinct()), "edge_id").select("edge_id", "vertices", F.size("vertices").alias("arity"), "strength", count_tokens("description").alias("size"))
-    return prefix(rows, [F.desc("arity"), F.desc("strength"), "edge_id"], "size", budget).drop("size")
+    return prefix(rows, ["-arity", "-strength", "edge_id"], "size", budget).drop("size")
 
 
 def entities_of_relations(relations: DataFrame, vertices: DataFrame, budget: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -51,6 +53,72 @@ class Rotation:
         raise RuntimeError("no provider answered") from last
 
 
+@dataclass
+class Limited:
+    """A completer that at most `at_once` threads of a worker call at a time; the others wait for their turn."""
+
+    completer: Callable[..., str]
+    at_once: int = 4
+    _turns: threading.Semaphore | None = None
+
+    def __post_init__(self):
+        self._turns = threading.Semaphore(self.at_once)
+
+    def __call__(self, prompt: str, system: str | None = None, history: list[str] | None = None) -> str:
+        with self._turns:
+            return self.completer(prompt, system, history)
+
+    def __reduce__(self):  # a semaphore stays with its worker
+        return Limited, (self.completer, self.at_once)
+
+
+class Streamer(Protocol):
+    """A provider that gives its answer in pieces as they come."""
+
+    def __call__(self, prompt: str, system: str | None = None) -> Iterator[str]: ...
+
+
+def converted(text: str, convert: Callable[[str], object] | None = None) -> object | None:
+    """An answer as JSON: as it is, else through the provider's own converter, else None."""
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError):
+        if convert is None:
+            return None
+        try:
+            return convert(text)
+        except Exception:  # noqa: BLE001 - a converter's errors are its own
+            return None
+
+
+def events(meta: dict, pieces: Callable[[], Iterator[str]]) -> Iterator[str]:
+    """Server-sent events of an answer: meta, one token event a piece, done; an error ends the stream with an error event."""
+    line = lambda name, data: f"event: {name}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
+    yield line("meta", meta)
+    try:
+        for piece in pieces():
+            yield line("token", {"text": piece})
+    except Exception as e:  # noqa: BLE001 - the reader of the stream is told
+        yield line("error", {"message": f"{type(e).__name__}: {e}"})
+        return
+    yield line("done", {"success": True})
+
+
+def streamed(mode: str, prompt: str, streamer: Streamer | None = None, completer: Completer = offline_completer, cached: str | None = None) -> Iterator[str]:
+    """The pieces of an answer in a mode that streams: a cached answer replayed, else the provider's own pieces, else its finished answer cut."""
+    if mode not in STREAMING:
+        raise ValueError(f"mode {mode!r} does not stream; one of {STREAMING}")
+    if cached is not None:
+        yield from stream_text(cached)
+    elif streamer is not None:
+        yield from streamer(prompt)
+    else:
+        yield from stream_text(completer(prompt))
+
+
+STREAMING = ("hyper", "hyper-lite", "naive", "llm")
+
+
 def complete(df: DataFrame, prompt: str, make: Callable[[], Completer], column: str = "answer") -> DataFrame:
     """Adds the completion of each row's prompt; `make` builds a provider once in each task. Null prompts stay null."""
     schema = StructType([*df.schema.fields, StructField(column, StringType())])

@@ -24,7 +24,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names; a temporary one only on a local master where none is named (tests). A cluster without a named folder is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -34,6 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "knotwork-checkpoints")
     context.setCheckpointDir(own)
     return own

@@ -6,6 +6,7 @@ Pickled files are not read: loading them would run code from the file.
 from __future__ import annotations
 
 import json
+import re
 import os
 from pathlib import Path
 
@@ -68,8 +69,8 @@ def _text_of(name: str, body: bytes) -> str:
     if low.endswith(".pdf"):
         try:
             from pypdf import PdfReader
-        except ImportError:
-            return ""
+        except ImportError as e:
+            raise RuntimeError(f"{name}: no PDF reader is installed") from e
         return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(body)).pages)
     if low.endswith(".docx"):
         import zipfile
@@ -123,13 +124,30 @@ def registry(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def gold_facts(spark: SparkSession, path: str) -> DataFrame:
-    """fact_id, claim, required (array of kind, element) from a list or {gold_facts: [...]}."""
+    """fact_id, claim, required (array of kind, element) from a list or {gold_facts: [...]}.
+
+    Entities and mechanisms are required as they are named; conditions and measurements under the id that their type,
+    value and unit make.
+    """
+    from knotwork.operators.evaluate import expected_condition, expected_metric
+
     data = json.loads(Path(path).read_text(encoding="utf-8-sig"), strict=False)
-    rows = []
+    rows, facts = [], []
+    number = lambda v: float(v) if isinstance(v, (int, float)) or isinstance(v, str) and re.fullmatch(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", v) else None
     for i, f in enumerate(data["gold_facts"] if isinstance(data, dict) else data):
-        need = [("entities", x) for x in f.get("required_entities", [])] + [("mechanisms", x) for x in f.get("required_mechanisms", [])]
-        rows.append((str(f.get("fact_id", i)), f.get("claim"), need))
-    return spark.createDataFrame(rows, "fact_id string, claim string, required array<struct<kind:string,element:string>>")
+        fact_id = str(f.get("fact_id", i))
+        facts.append((i, fact_id, f.get("claim")))
+        need = [("entities", x, None, None) for x in f.get("required_entities") or []]
+        need += [("conditions", c.get("quantity_type") or c.get("type") or c.get("canonical_id") or "", number(c.get("value")), c.get("unit")) for c in f.get("required_conditions") or []]
+        need += [("measurements", m.get("metric_type") or m.get("type") or m.get("canonical_id") or "", number(m.get("value")), m.get("unit")) for m in f.get("required_metrics") or []]
+        need += [("mechanisms", x, None, None) for x in f.get("required_mechanisms") or []]
+        rows += [(i, n, *r) for n, r in enumerate(need)]
+    each = spark.createDataFrame(rows, "at bigint, n int, kind string, name string, value double, unit string")
+    kind, name, value, unit = (F.col(c) for c in ("kind", "name", "value", "unit"))
+    element = F.when(kind == "conditions", expected_condition(name, value, unit)).when(kind == "measurements", expected_metric(name, value, unit)).otherwise(name)
+    required = each.select("at", "n", "kind", element.alias("element")).groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "element"))), lambda x: F.struct(x.kind.alias("kind"), x.element.alias("element"))).alias("required"))
+    whole = spark.createDataFrame(facts, "at bigint, fact_id string, claim string").join(required, "at", "left")
+    return whole.select("fact_id", "claim", F.coalesce("required", F.array().cast("array<struct<kind:string,element:string>>")).alias("required"))
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
@@ -154,6 +172,7 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def databases(root: str, table: str = "edges") -> list[str]:
-    """Names of the databases under a folder: sub-folders that hold the given table."""
+    """Names of the databases under a folder: sub-folders that hold the given table, by their manifest or as a folder."""
     base = Path(root)
-    return sorted(p.name for p in base.iterdir() if (p / table).is_dir() and any((p / table).iterdir())) if base.is_dir() else []
+    holds = lambda p: table in config(p / "_manifest.json") or (p / table).is_dir() and any((p / table).iterdir())
+    return sorted(p.name for p in base.iterdir() if p.is_dir() and holds(p)) if base.is_dir() else []

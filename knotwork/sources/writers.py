@@ -37,13 +37,54 @@ def commit_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     _swap(df.sparkSession, staging, path)
 
 
+MANIFEST = "_manifest.json"
+
+
+def _manifest(spark: SparkSession, root: str) -> dict[str, str]:
+    """Which folder each table of the root is in, as the last commit left it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{MANIFEST}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    stream = fs.open(path)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def commit_all(frames: dict[str, DataFrame], root: str) -> None:
-    """Each frame to its table under the root; all are written before the first is swapped in."""
-    staged = {name: f"{root.rstrip('/')}/_staging-{name}-{uuid.uuid4().hex}" for name in frames}
-    for name, df in frames.items():
-        df.write.mode("errorifexists").parquet(staged[name])
+    """All frames to their tables under the root at once: they are written to a new version, then one manifest is swapped in.
+
+    Readers that open tables by `committed` see all of the old versions or all of the new ones, whatever fails. Versions
+    that no table uses any more are deleted last.
+    """
+    root = root.rstrip("/")
+    spark = next(iter(frames.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    before, version = _manifest(spark, root), f"_versions/{uuid.uuid4().hex}"
     for name, df in frames.items():
-        _swap(df.sparkSession, staged[name], f"{root.rstrip('/')}/{name}")
+        df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
+    after = before | {name: f"{version}/{name}" for name in frames}
+    part, target = hadoop.Path(f"{root}/{MANIFEST}.{uuid.uuid4().hex}"), hadoop.Path(f"{root}/{MANIFEST}")
+    fs = target.getFileSystem(conf)
+    stream = fs.create(part, True)
+    stream.write(bytearray(json.dumps(after).encode("utf-8")))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(part, target, options)
+    for name in frames:
+        if name in before:
+            fs.delete(hadoop.Path(f"{root}/{before[name]}"), True)
+
+
+def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the root: its version in the manifest, else the plain folder of its name."""
+    root = root.rstrip("/")
+    return spark.read.parquet(f"{root}/{_manifest(spark, root).get(name, name)}")
 
 
 def jsonl(df: DataFrame, path: str) -> None:

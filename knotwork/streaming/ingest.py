@@ -19,15 +19,17 @@ def stream_documents(spark: SparkSession, folder: str, schema: str, files_per_ba
 def ingest(stream: DataFrame, root: str, size: int = 1200, overlap: int = 100, merge: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Append new documents and their chunks to tables under the root, each different text once.
 
-    A batch that is run again (after a failure) finds its documents stored and adds nothing. `merge` gets the batch's
-    chunks for what else is kept up to date, such as the merged graph.
+    Each batch writes a folder of its own number, in both tables, over whatever an earlier attempt left there, and
+    compares its documents with those of the other batches only; so a batch that is run again after a failure at any
+    point ends in the same tables. `merge` gets the batch's chunks and number for what else is kept up to date, such as
+    the merged graph.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         new = df.where("text is not null").withColumn("doc_key", document_key(F.col("text"))).dropDuplicates(["doc_key"])
         try:
-            new = new.join(spark.read.parquet(f"{root}/documents").select("doc_key"), "doc_key", "left_anti")
+            new = new.join(spark.read.parquet(f"{root}/documents").where(F.col("batch") != number).select("doc_key"), "doc_key", "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -35,10 +37,10 @@ def ingest(stream: DataFrame, root: str, size: int = 1200, overlap: int = 100, m
 
         new = durable(new)
         chunks = windows(new, size, overlap, "doc_key")
-        chunks.write.mode("append").parquet(f"{root}/chunks")
+        chunks.write.mode("overwrite").parquet(f"{root}/chunks/batch={number}")
         if merge is not None:
             merge(chunks, number)
-        new.select("doc_key", "doc_id", "text").write.mode("append").parquet(f"{root}/documents")
+        new.select("doc_key", "doc_id", "text").write.mode("overwrite").parquet(f"{root}/documents/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
 
@@ -54,7 +56,11 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def rate_limited(events: DataFrame, seconds: float, limit: int) -> DataFrame:
-    """user_id, event_id, allowed: windows that open with a user's first event outside the one before, state kept per user."""
+    """user_id, event_id, allowed: windows that open with a user's first event outside the one before, state kept per user.
+
+    The state of a user is two numbers and is kept as long as the stream: an expiry by processing time would keep a
+    stream that runs once over what there is from ending.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,3 +77,29 @@ def rate_limited(events: DataFrame, seconds: float, limit: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
 
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, allowed boolean", "start bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch(spark: SparkSession, tell: Callable[[dict], None]):
+    """Progress of the session's streams told as plain records: started, progress (batch, rows, seconds), ended (error or null).
+
+    Returns the listener; `spark.streams.removeListener` ends it.
+    """
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            tell({"event": "started", "id": str(event.id), "name": event.name})
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            tell({"event": "progress", "id": str(p.id), "name": p.name, "batch": p.batchId, "rows": p.numInputRows, "seconds": p.batchDuration / 1000})
+
+        def onQueryIdle(self, event):
+            tell({"event": "idle", "id": str(event.id)})
+
+        def onQueryTerminated(self, event):
+            tell({"event": "ended", "id": str(event.id), "error": event.exception})
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener

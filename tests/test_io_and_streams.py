@@ -132,3 +132,54 @@ def test_configuration(spark, tmp_path):
     rows = spark.createDataFrame([("a", "M", None, 3.0), ("", "X", None, 12.5)], "name string, type string, unit string, strength double")
     got = [r.e for r in rows.select(schema_errors(fields).alias("e")).collect()]
     assert got == [["unit is required"], ["name is required", "strength is out of range", "strength is not whole"]]
+
+
+def test_commits_swap_one_manifest(spark, tmp_path):
+    root = str(tmp_path / "db")
+    writers.commit_all({"edges": spark.range(2), "vertices": spark.range(1)}, root)
+    writers.commit_all({"edges": writers.committed(spark, root, "edges").unionByName(spark.range(2, 5))}, root)
+    assert writers.committed(spark, root, "edges").count() == 5 and writers.committed(spark, root, "vertices").count() == 1
+    assert len(list((tmp_path / "db" / "_versions").glob("*/edges"))) == 1
+
+
+def test_gold_facts_are_read_whole(spark, tmp_path):
+    fact = {"fact_id": "f", "claim": "c", "required_entities": ["e"], "required_conditions": [{"quantity_type": "current density", "value": 120, "unit": "mA/cm2"}, {"quantity_type": "condition:x"}], "required_metrics": [{"metric_type": "CE", "value": "97"}], "required_mechanisms": ["degradation:m"]}
+    (tmp_path / "g.json").write_text(json.dumps([fact, {"claim": "none"}]))
+    got = {r.fact_id: [tuple(x) for x in r.required] for r in readers.gold_facts(spark, str(tmp_path / "g.json")).collect()}
+    assert got == {"f": [("entities", "e"), ("conditions", "condition:current_density_120_ma_cm2"), ("conditions", "condition:x"), ("measurements", "measurement:ce_97_0_percent"), ("mechanisms", "degradation:m")], "1": []}
+
+
+def test_events_and_limits():
+    import threading
+    import time
+
+    from knotwork import providers
+
+    assert list(providers.events({"mode": "naive"}, lambda: iter(["a", "ü"]))) == ['event: meta\ndata: {"mode": "naive"}\n\n', 'event: token\ndata: {"text": "a"}\n\n', 'event: token\ndata: {"text": "ü"}\n\n', 'event: done\ndata: {"success": true}\n\n']
+    assert list(providers.events({}, lambda: 1 / 0))[-1].startswith("event: error")
+    assert "".join(providers.streamed("llm", "p", cached="x" * 70)) == "x" * 70 and list(providers.streamed("hyper", "p", streamer=lambda p: iter("ab"))) == ["a", "b"]
+    with pytest.raises(ValueError):
+        list(providers.streamed("graph", "p"))
+    assert providers.converted('{"a": 1}') == {"a": 1} and providers.converted("a=1", lambda t: t.split("=")) == ["a", "1"] and providers.converted("x") is None
+    now, most = [], []
+
+    def slow(prompt, system=None, history=None):
+        now.append(1)
+        most.append(len(now))
+        time.sleep(0.02)
+        now.pop()
+        return prompt
+
+    limited = providers.Limited(slow, 2)
+    threads = [threading.Thread(target=limited, args=("p",)) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert max(most) <= 2 and len(most) == 8
+
+
+def test_presets():
+    from knotwork.config import PRESETS, preset
+
+    assert len(PRESETS) == 9 and preset("final_no_repair").repair is False and preset("graph_final").mode == "graph"
+    with pytest.raises(ValueError):
+        preset("none")

@@ -87,7 +87,7 @@ def _registry(spark):
 
 
 def test_cascade_decides(spark):
-    rows = [(1, "n 117", "MEMBRANE"), (2, "alphabetic redox flow batery", "SYSTEM"), (3, "Membrane 118", "MEMBRANE"), (4, "something else", "SYSTEM"), (5, None, "SYSTEM"), (6, "CE", "PERFORMANCE_METRIC"), (7, "x", None)]
+    rows = [(1, "n 117", "MEMBRANE"), (2, "alphabetic redox flow batery", "SYSTEM"), (3, "Membrane 118", "MEMBRANE"), (4, "something else", "SYSTEM"), (5, None, "SYSTEM"), (6, "CE", "PERFORMANCE_METRIC"), (7, "qqq", None)]
     got = {r.mention_id: (r.decision, r.canonical_id) for r in resolve.cascade(spark.createDataFrame(rows, "mention_id bigint, name string, entity_type string"), _registry(spark), []).collect()}
     assert got[1][0] == "NEED_REVIEW" or got[1] == ("CREATE_NEW", None) or got[1][1] == "mem:n117"
     assert got[2] == ("MERGE", "sys:a")
