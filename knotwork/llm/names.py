@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.lookalike import fold_py
+from knotwork.session import durable
 
 UNRESOLVED = "UNRESOLVED"
 TREE_ENTRIES = 20_000  # entries of one tree; longer lists are sharded
@@ -186,9 +187,12 @@ class Matcher:
         self.keys, self.heads = BKTree(sorted(self.by_key)), BKTree(sorted(self.by_head))
         self.seen: dict[tuple[str, str], tuple[int, frozenset[str]] | None] = {}
         self.short: set[tuple[str, str]] = set()  # keys whose hits are shortened names
+        self.guards = {guard for held in self.by_key.values() for guard in held}
 
     def best(self, words: str, guard: str) -> tuple[int, frozenset[str]] | None:
         """The least distance and the entries at it, among those with the same numbers and oxidation state."""
+        if guard not in self.guards:
+            return None
         if (words, guard) not in self.seen:
             hits: dict[int, set[str]] = {}
             for d, entry in self.keys.within(words, allowed(words)):
@@ -223,13 +227,30 @@ MATCHES = "name string, edits int, canonical_id string"
 PARTS = "name string, reading int, short boolean, edits int, canonical_id string"
 
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keys = [key(tidy(entry)) for entry in batch["entry"]]
+        yield batch.assign(words=[k[0] for k in keys], guard=[k[1] for k in keys])
+
+
+def _against(listed: list[tuple[str, str]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(listed)
+        for batch in batches:
+            yield matcher.parts(batch["name"])
+
+    return run
+
+
 def resolve_names(names: DataFrame, entries: DataFrame, tree_entries: int = TREE_ENTRIES) -> DataFrame:
     """name, canonical_id (or UNRESOLVED), edits for each distinct name. entries: canonical_id, entry (one row a spelling).
 
-    A list of at most `tree_entries` spellings is one tree in every task; a longer one is sharded by entry, each slice
-    of the names meets each shard, and the shards' winners merge as in one tree: for each reading whole names before
-    shortened ones, then by least distance. Names at the same distance from entries of different ids are UNRESOLVED, as are names whose number or oxidation state no entry has. Null names give
-    no row; repeated names one. An empty list leaves every name UNRESOLVED.
+    A list of at most `tree_entries` spellings is one tree in every task. A longer one is sharded in the order of
+    numbers and words; the names stream past one shard's tree after the other, skipping those without an entry of their
+    number and oxidation state, and the shards' winners merge as in one tree: for each reading whole names before
+    shortened ones, then by least distance. Names at the same distance from entries of different ids are UNRESOLVED, as
+    are names whose number or oxidation state no entry has. Null names give no row; repeated names one. An empty list
+    leaves every name UNRESOLVED.
     """
     distinct = names.where("name is not null").select("name").distinct()
     spelled = entries.where("canonical_id is not null and entry is not null").select("canonical_id", "entry").distinct()
@@ -245,10 +266,15 @@ def resolve_names(names: DataFrame, entries: DataFrame, tree_entries: int = TREE
         # The search costs more than its few bytes tell, so the names are spread over all cores.
         hits = distinct.repartition(2 * names.sparkSession.sparkContext.defaultParallelism).mapInPandas(one, MATCHES)
     else:
-        shards, slices = -(-spelled.count() // tree_entries), max(1, names.sparkSession.sparkContext.defaultParallelism)
-        left = distinct.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = spelled.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-        parts = left.groupBy("slice", "shard").cogroup(right.groupBy("slice", "shard")).applyInPandas(lambda a, b: Matcher(list(zip(b["canonical_id"], b["entry"]))).parts(a["name"]), PARTS)
+        shards = -(-spelled.count() // tree_entries)
+        ranged = durable(spelled.mapInPandas(_keyed, "canonical_id string, entry string, words string, guard string").repartitionByRange(shards, "guard", "words", "entry").withColumn("shard", F.spark_partition_id()))
+        asked = durable(distinct.repartition(2 * names.sparkSession.sparkContext.defaultParallelism))
+        parts = None
+        for shard in range(shards):
+            held = [(r[0], r[1]) for r in ranged.where(F.col("shard") == shard).select("canonical_id", "entry").collect()]
+            if held:
+                hits = asked.mapInPandas(_against(held), PARTS)
+                parts = hits if parts is None else parts.unionByName(hits)
         first, last = F.struct("short", "edits", "canonical_id"), F.struct(~F.col("short"), -F.col("edits"), "canonical_id")
         ends = parts.groupBy("name", "reading").agg(F.min(first).alias("first"), F.max_by("canonical_id", last).alias("last"))
         hits = ends.select("name", "first.edits", F.explode(F.array("first.canonical_id", "last")).alias("canonical_id"))

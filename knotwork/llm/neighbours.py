@@ -28,6 +28,7 @@ PROBES = 3  # cells a query looks into, its own among them
 RERANK = 48  # candidates of a cell that are compared exactly
 BLOCK = 4_000  # vectors of one cell handled in one task
 ASKING = 16_000  # queries of one cell handled in one task
+ROWS_A_TASK = 100_000  # vectors and queries that one search task reads
 BOOK_ROWS = 6_000  # rows of the sample that the codebooks are fitted on
 FINER = 4  # by how much more cells are probed where cells have a second centre
 T = 0.2  # threshold of the score-aware loss: errors matter for products above T
@@ -310,7 +311,9 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float | None = None, di
         join = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0), t)
         return pa.table({"query": join(out_q, pa.int64()), "other": join(out_o, pa.int64()), "similarity": join(out_s, pa.float64())})
 
-    found = rows.groupBy("cell", "block", "asking").applyInArrow(search, "query bigint, other bigint, similarity double")
+    # Tasks keep their size as the table grows: each gets about ROWS_A_TASK rows, of some 400 bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * probes // ROWS_A_TASK))
+    found = rows.repartition(tasks, "cell", "block", "asking").groupBy("cell", "block", "asking").applyInArrow(search, "query bigint, other bigint, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "other"))
     near = found.dropDuplicates(["query", "other"]).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
     return _with_copies(durable(near), _members(source, classes, dim), classes, k) if copied else near

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.lookalike import fold
+from knotwork.functions.sizes import join_hot
+from knotwork.session import durable
 
 
 def unify(values: DataFrame, text: str = "text") -> DataFrame:
@@ -19,12 +21,12 @@ def unify(values: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of these names are replaced. A null text has a null canonical and 0 variants. Texts of only blanks or invisible characters form one class.
     Repeated texts are reduced to one before the grouping, so a text that fills a third of the table costs one row
-    there; the join back is left to the adaptive skew handling.
+    there, and hot texts are joined back by broadcast.
     """
     spark = values.sparkSession
     values = values.drop("canonical", "variants")
     texts = values.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct()
-    folded = texts.withColumn("k", fold(F.col("t")))
+    folded = durable(texts.withColumn("k", fold(F.col("t"))))  # folded once for the grouping and for the join back
     classes = spark.sql(
         """
         WITH class AS (
@@ -38,7 +40,7 @@ def unify(values: DataFrame, text: str = "text") -> DataFrame:
         """,
         folded=folded,
     )
-    joined = values.join(classes, F.col(text) == F.col("unify_text"), "left").drop("unify_text")
+    joined = join_hot(values, durable(classes.withColumnRenamed("unify_text", text)), [text], "left")
     alone = F.when(F.col(text).isNull(), 0).otherwise(1).cast("bigint")
     return joined.withColumns({"canonical": F.coalesce("canonical", text), "variants": F.coalesce("variants", alone)})
 
@@ -48,7 +50,7 @@ def equal_looking_pairs(values: DataFrame) -> DataFrame:
 
     Only values of classes with more than one text take part; rows with a null scope are in no pair.
     """
-    varied = unify(values).where("variants > 1 and scope is not null").select("src", "scope", "id", "pos", "text", "canonical")
+    varied = durable(unify(values).where("variants > 1 and scope is not null").select("src", "scope", "id", "pos", "text", "canonical"))
     a, b = (varied.select(*[F.col(c).alias(f"{s}_{c}") for c in varied.columns]) for s in "ab")
     same = (F.col("a_src") == F.col("b_src")) & (F.col("a_scope") == F.col("b_scope")) & (F.col("a_canonical") == F.col("b_canonical"))
     order = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_pos") < F.col("b_pos")))

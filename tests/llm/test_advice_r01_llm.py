@@ -55,3 +55,13 @@ def test_ten_nearest_however_far(spark, monkeypatch):
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
     assert np.mean([len(got[i] & set(np.argsort(-s[i])[:10])) for i in range(len(points))]) >= 9
+
+
+def test_any_number_of_shards_decides_as_one_tree(spark, data):
+    from knotwork.llm.names import spellings, typed_names
+
+    read = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    names, entries = typed_names(read("alias_match"), read("rewritten_hyperedge")), spellings(read("canonical_entity"))
+    whole = sorted(map(tuple, resolve_names(names, entries).select("name", "canonical_id").collect()))
+    for size in (40, 150):
+        assert sorted(map(tuple, resolve_names(names, entries, size).select("name", "canonical_id").collect())) == whole
