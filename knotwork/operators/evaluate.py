@@ -99,6 +99,31 @@ def judge(required: DataFrame, ranked: DataFrame, evidence: DataFrame) -> DataFr
     return sums.select("fact_id", label.alias("label"), F.round(support, 4).alias("support"), F.round(integrity, 4).alias("integrity"), "missing")
 
 
+def coverage(required: DataFrame, ranked: DataFrame, evidence: DataFrame, ks: list[int]) -> DataFrame:
+    """k, facts, strict, soft, integrity, budget, density, supported, partial, unsupported: facts judged at every k in one pass.
+
+    An element is there at k if the first evidence row that names it has a rank of k at most. `budget` is the mean
+    number of blank-separated tokens of a fact's k evidence texts, `density` the soft coverage for each thousand of
+    them. Facts without evidence count with nothing there.
+    """
+    held = evidence.select("evidence_id", "vertices", compact(F.col("text")).alias("said"), F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("tokens"))
+    shown = ranked.select("fact_id", "evidence_id", "rank").join(held, "evidence_id")
+    name = compact(F.replace(F.element_at(F.split("element", ":"), -1), F.lit("_"), F.lit(" ")))
+    named = required.withColumn("kw_name", name).join(shown, "fact_id", "left")
+    there = F.array_contains("vertices", F.col("element")) | F.contains(F.col("said"), F.col("kw_name"))
+    first = named.groupBy("fact_id", "kind", "element").agg(F.min(F.when(there, F.col("rank"))).alias("first"))
+    at = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    hit = F.coalesce(F.col("first") <= F.col("k"), F.lit(False))
+    sums = first.select("*", at).groupBy("k", "fact_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(F.col("kind") == "conditions").alias("n_cond"), F.count_if(hit & (F.col("kind") == "conditions")).alias("cond"))
+    used = shown.select("fact_id", "rank", "tokens", at).where("rank <= k").groupBy("k", "fact_id").agg(F.sum("tokens").alias("tokens"))
+    support, integrity = F.col("hits") / F.greatest(F.lit(1), F.col("n")), F.col("cond") / F.greatest(F.lit(1), F.col("n_cond"))
+    label = F.when((support >= 0.85) & (integrity >= 0.8), "SUPPORTED").when(support >= 0.45, "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED")
+    rows = sums.join(used, ["k", "fact_id"], "left").select("k", label.alias("label"), F.round(support, 4).alias("support"), F.round(integrity, 4).alias("integrity"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    counts = [F.count_if(F.col("label") == name).alias(short) for name, short in (("SUPPORTED", "supported"), ("PARTIALLY_SUPPORTED", "partial"), ("UNSUPPORTED", "unsupported"))]
+    out = rows.groupBy("k").agg(F.count("*").alias("facts"), F.avg("support").alias("soft"), F.avg("integrity").alias("integrity"), F.avg("tokens").alias("budget"), *counts)
+    return out.select("k", "facts", F.round(F.col("supported") / F.col("facts"), 4).alias("strict"), F.round("soft", 4).alias("soft"), F.round("integrity", 4).alias("integrity"), F.round("budget", 2).alias("budget"), F.round(F.col("soft") / F.greatest(F.lit(1.0), F.col("budget") / 1000), 4).alias("density"), "supported", "partial", "unsupported")
+
+
 def majority_label(judgements: DataFrame, key: str, label: str, order: dict[str, int] = LABELS) -> DataFrame:
     """key, label: the commonest label, of equally common ones the one of higher order."""
     weight = F.coalesce(*[F.when(F.col(label) == k, v) for k, v in order.items()], F.lit(0))

@@ -62,12 +62,14 @@ def decompose_roles(spark: SparkSession, d: str) -> DataFrame:
     """Entities that a mention names in its surface beside the one it resolves to: name words of the registry contained in the text."""
     rules = table(spark, d, "canonical_entity").where("entity_type in ('CONDITION', 'METRIC', 'DEGRADATION')").select("canonical_id", F.lower("canonical_name").alias("word"))
     said = b.hyperedges(spark, d).where("description is not null").select("ord", F.lower("description").alias("text"), "vertices")
-    listed = [(r[0], r[1]) for r in rules.orderBy("canonical_id").limit(1_001).collect()]
-    if len(listed) > 1_000:
-        raise ValueError("more than 1000 role words")
-    table_ = F.array(*[F.struct(F.lit(i).alias("canonical_id"), F.lit(w).alias("word")) for i, w in listed])
-    found = F.filter(table_, lambda r: F.contains(F.col("text"), r["word"]) & ~F.array_contains("vertices", r["canonical_id"]))
-    return said.select("ord", F.explode(found).alias("r")).select("ord", "r.canonical_id")
+    listed = [(r[0], r[1]) for r in rules.orderBy("canonical_id").collect()]  # role words of the registry, a configured table
+    out = None
+    for low in range(0, len(listed), 1_000):  # an expression holds a thousand words; further ones take further passes
+        table_ = F.array(*[F.struct(F.lit(i).alias("canonical_id"), F.lit(w).alias("word")) for i, w in listed[low : low + 1_000]])
+        found = F.filter(table_, lambda r: F.contains(F.col("text"), r["word"]) & ~F.array_contains("vertices", r["canonical_id"]))
+        part = said.select("ord", F.explode(found).alias("r")).select("ord", "r.canonical_id")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else said.select("ord", F.lit(None).cast("string").alias("canonical_id")).limit(0)
 
 
 def adjudicated(spark: SparkSession, d: str) -> DataFrame:

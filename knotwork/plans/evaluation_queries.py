@@ -17,8 +17,8 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty hyperedges (of the least hash) as gold facts: the description is the claim, the vertices are required."""
-    return b.hyperedges(spark, d).where("description is not null").orderBy(F.md5(F.col("ord").cast("string"))).limit(20).select(F.col("ord").alias("fact_id"), F.col("description").alias("claim"), "vertices")
+    """The query set of gold facts: every hyperedge whose number is divisible by 20; the description is the claim, the vertices are required."""
+    return _all_facts(spark, d).where("fact_id % 20 = 0")
 
 
 def _all_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def evidence_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_rank_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every hyperedge with a description as a fact; the twenty of evidence_rank are those of its SQL."""
+    """Every hyperedge with a description as a fact; those divisible by 20 of evidence_rank are those of its SQL."""
     return e.rank(_all_facts(spark, d), _evidence(spark, d), 10)
 
 
@@ -56,11 +56,7 @@ def _covered(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Coverage at 1, 3, 5 and 10; the evidence is ranked once."""
     evidence = durable(evidence)
     ranked = durable(e.rank(facts, evidence, 10))
-    parts = [e.judge(_required(facts), ranked.where(F.col("rank") <= k), evidence).withColumn("k", F.lit(k)) for k in (1, 3, 5, 10)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return e.rollup(out, ["k"])
+    return e.coverage(_required(facts), ranked, evidence, [1, 3, 5, 10])
 
 
 def _missed(facts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -166,7 +162,7 @@ _PARTS = f"list_filter(string_split(list_last(string_split({_NORMAL.format('v')}
 _EV = f"""{HYPEREDGES}, ev AS (SELECT ord AS evidence_id, vertices, relation_type, len(vertices)::INT AS arity, 'relation_type: ' || coalesce(relation_type, 'RELATION') || chr(10) || 'canonical_vertices: ' || array_to_string(vertices, ', ') || chr(10) || 'description: ' || coalesce(description, '') AS text FROM hyperedges),
     evn AS (SELECT *, {_NORMAL.format('text')} AS norm FROM ev),
     vp AS (SELECT evidence_id, unnest(vertices) AS v FROM ev), vparts AS (SELECT evidence_id, v, unnest({_PARTS}) AS p FROM vp),
-    fact AS (SELECT ord AS fact_id, description, vertices, {_NORMAL.format('description')} AS cn, {_TERMS} AS ct FROM hyperedges WHERE description IS NOT NULL ORDER BY md5(ord::VARCHAR) LIMIT 20), fr AS (SELECT *, replace(cn, ' ', '') AS cc, {_REL} AS cr FROM fact),
+    fact AS (SELECT ord AS fact_id, description, vertices, {_NORMAL.format('description')} AS cn, {_TERMS} AS ct FROM hyperedges WHERE description IS NOT NULL AND ord % 20 = 0), fr AS (SELECT *, replace(cn, ' ', '') AS cc, {_REL} AS cr FROM fact),
     ov AS (SELECT fact_id, evidence_id, count(DISTINCT v) AS n FROM fr JOIN vparts ON contains(cn, p) GROUP BY ALL),
     cond AS (SELECT evidence_id, v, replace({_NORMAL.format('v')}, ' ', '') AS c FROM vp WHERE starts_with(v, 'condition:')), nc AS (SELECT evidence_id, count(*) AS n FROM cond GROUP BY 1), oc AS (SELECT fact_id, evidence_id, count(*) AS n FROM fr JOIN cond ON contains(cc, c) GROUP BY ALL),
     sc AS (SELECT fr.fact_id, x.evidence_id, len(list_filter(ct, lambda t: contains(norm, t))) / greatest(1, len(ct)) AS lex, coalesce(ov.n, 0) / greatest(1, len(x.vertices)) AS ent, coalesce(oc.n, 0) / greatest(1, coalesce(nc.n, 0)) AS con, CASE WHEN cr <> '' AND len(list_filter(string_split(cr, '|'), lambda t: contains(coalesce(relation_type, ''), t))) > 0 THEN 1.0 ELSE 0.0 END AS bonus, arity
@@ -185,7 +181,9 @@ ORACLES = {
     "evidence_rank": f"WITH {_EV}, {_RANK.format(s=_HYB, k=10)} SELECT * FROM rk",
     "evidence_rank_plain": f"WITH {_EV}, {_RANK.format(s=_PLAIN, k=5)} SELECT * FROM rk",
     "fact_judge": f"WITH {_EV}, {_RANK.format(s=_HYB, k=10)}, {_JUDGE} SELECT fact_id, label, support, integrity, array_to_string(missing, '|') AS missing FROM jd WHERE k = 10",
-    "coverage_at_k": f"WITH {_EV}, {_RANK.format(s=_HYB, k=10)}, {_JUDGE} SELECT k, count(*) AS facts, round(avg(CASE WHEN label = 'SUPPORTED' THEN 1.0 ELSE 0.0 END), 4) AS strict, round(avg(support), 4) AS soft, round(avg(integrity), 4) AS integrity FROM jd GROUP BY k",
+    "coverage_at_k": f"""WITH {_EV}, {_RANK.format(s=_HYB, k=10)}, {_JUDGE}, tk AS (SELECT ks.k, rk.fact_id, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))) AS tokens FROM rk JOIN ev USING (evidence_id), (VALUES (1), (3), (5), (10)) ks(k) WHERE rank <= k GROUP BY ALL),
+        a AS (SELECT k, count(*) AS facts, avg(support) AS soft, avg(integrity) AS integrity, avg(coalesce(tokens, 0)) AS budget, count(*) FILTER (label = 'SUPPORTED') AS supported, count(*) FILTER (label = 'PARTIALLY_SUPPORTED') AS partial, count(*) FILTER (label = 'UNSUPPORTED') AS unsupported FROM jd LEFT JOIN tk USING (k, fact_id) GROUP BY k)
+        SELECT k, facts, round(supported / facts, 4) AS strict, round(soft, 4) AS soft, round(integrity, 4) AS integrity, round(budget, 2) AS budget, round(soft / greatest(1.0::DOUBLE, budget / 1000), 4) AS density, supported, partial, unsupported FROM a""",
     "missing_counts": f"WITH {_EV}, {_RANK.format(s=_HYB, k=10)}, {_JUDGE} SELECT element, count(*) AS n FROM (SELECT unnest(missing) AS element FROM jd WHERE k = 3) GROUP BY 1",
     "judge_majority": f"WITH {_J}, l AS (SELECT answer_id, CASE WHEN score >= 4 THEN 'SUPPORTED' WHEN score >= 2 THEN 'PARTIALLY_SUPPORTED' WHEN score IS NOT NULL THEN 'UNSUPPORTED' END AS label FROM j), c AS (SELECT answer_id, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY ALL) SELECT answer_id, label FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY n DESC, CASE label WHEN 'SUPPORTED' THEN 3 WHEN 'PARTIALLY_SUPPORTED' THEN 2 ELSE 1 END DESC) AS r FROM c) WHERE r = 1",
     "judge_spread": f"WITH {_J} SELECT answer_id, round(avg(score), 4) AS mean_score, round(stddev_pop(score), 4) AS std_score, count(*) AS n FROM j WHERE score IS NOT NULL GROUP BY 1",
