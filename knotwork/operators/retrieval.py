@@ -14,6 +14,7 @@ from knotwork.functions.sizes import small_side
 from knotwork.operators.chunking import tokens
 from knotwork.operators.graph import incidence, vertex_degree
 from knotwork.operators.prefix import running_totals
+from knotwork.session import durable
 
 MODES = ("hyper", "hyper-lite", "graph", "naive")
 
@@ -40,6 +41,7 @@ def prefix(df: DataFrame, order: list[str], size: str, budget: int) -> DataFrame
     """
     keys = {f"kw_o{i}": -F.col(c[1:]) if c.startswith("-") else F.col(c) for i, c in enumerate(order)}
     rows = df.withColumns(keys | {"kw_all": F.lit(0), "kw_one": F.lit(1)})
+    rows = durable(rows)  # the range partitioning reads its input twice, once for the bounds
     placed = running_totals(rows, "kw_all", list(keys), {size: "kw_before", "kw_one": "place"})
     return placed.where(F.col("kw_before") + F.col(size) <= budget).drop(*keys, "kw_all", "kw_one", "kw_before").withColumn("place", F.col("place").cast("int"))
 
@@ -69,10 +71,10 @@ def units_of_entities(hits: DataFrame, edges: DataFrame, sources: DataFrame, chu
     near = small_side(hits.select("vertex_id", F.col("place").alias("hit")))
     own = sources.join(near, "vertex_id").select("vertex_id", "hit", "chunk_id")
     owner = own.groupBy("chunk_id").agg(F.min("hit").alias("hit"))
+    # How many edges a hit shares with each vertex comes first; a chunk then needs only its own hit's counts.
     asked = incidence(edges).join(near, "vertex_id").select("hit", "edge_id")
-    # Members are counted by edge and chunk once, before the hits that share the edge multiply them.
-    by_edge = incidence(edges).join(asked.select("edge_id").distinct(), "edge_id", "left_semi").join(sources, "vertex_id").groupBy("edge_id", "chunk_id").agg(F.count("*").alias("n"))
-    around = asked.join(by_edge, "edge_id").groupBy("hit", "chunk_id").agg(F.sum("n").alias("shared"))
+    together = incidence(edges).join(asked, "edge_id").groupBy("hit", "vertex_id").agg(F.count("*").alias("n"))
+    around = sources.join(owner, "chunk_id").join(together, ["hit", "vertex_id"]).groupBy("hit", "chunk_id").agg(F.sum("n").alias("shared"))
     rows = owner.join(around, ["hit", "chunk_id"], "left").join(chunks, "chunk_id").select("chunk_id", "hit", F.coalesce("shared", F.lit(0)).alias("shared"), count_tokens("content").alias("size"))
     return prefix(rows, ["hit", "-shared", "chunk_id"], "size", budget).select("place", "chunk_id", "hit", "shared")
 
