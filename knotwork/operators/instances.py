@@ -173,7 +173,7 @@ def metric_value(metric: Column, shown: Column) -> Column:
     """The number that a readable text states for a metric: by the metric's patterns in order, for shares else the last percentage."""
     found = lambda p: F.regexp_extract(shown, f"(?i){p}", 1).try_cast("double")
     own = [F.when(metric == m, F.coalesce(*[found(p) for p in patterns])) for m, patterns in METRIC_VALUES.items()]
-    last = F.element_at(F.regexp_extract_all(shown, F.lit(rf"({NUMBER})\s*%"), F.lit(1)), -1).cast("double")
+    last = F.try_element_at(F.regexp_extract_all(shown, F.lit(rf"({NUMBER})\s*%"), F.lit(1)), F.lit(-1)).cast("double")
     return F.coalesce(*own, F.when(metric.isin(*PERCENT) & shown.contains("%"), last))
 
 
