@@ -28,7 +28,6 @@ from knotwork.llm.language import HAN, SETS, detect
 from knotwork.session import durable
 
 DEFECTS = ["empty", "copied_question", "other_language", "refusal", "truncated"]
-DAMAGED = 2_000  # bound on the corpus pairs that are damaged for validation
 # What stands for an absent answer, labels before an answer.
 PLACEHOLDERS = frozenset("n/a|na|n.a|none|null|nil|tbd|tba|todo|nan|empty|blank|no answer|no answer provided|no answer given|no answer available|not available|not applicable|not provided|no response|no reply|no content|no text|no output|missing|undefined|unknown|pending|to be added|to be completed|keine antwort|sans réponse|sin respuesta|nessuna risposta|нет ответа|无|无回答|没有回答|answer|a|ans|response|reply|answer here|placeholder|lorem ipsum|insert answer here|your answer|your answer here|output|result|xxx|void|redacted".split("|"))
 LABEL = re.compile(r"^\s*(?:\*\*|#+ ?)?(?:(?:final |short |model |my )?answer|ans|a|response|reply|(?:the |your )?question(?: is| was)?|you (?:asked|want(?:ed)? to know)|i was asked|q|user|assistant|prompt|antwort|frage|réponse|respuesta|pregunta|risposta|domanda|ответ|вопрос|回答|答|问题?|问)(?:\*\*)?\s*[:：.)-]\s*(?:\*\*)?\s*", re.I)
@@ -271,57 +270,61 @@ def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 # --- the vote table ---
 
-VOTES = "answer_id bigint, kind string, empty string, copied_question string, other_language string, refusal string, truncated string, lang string, tail array<bigint>"
+VOTES = "answer_id bigint, kind string, empty string, copied_question string, other_language string, refusal string, truncated string, lang string, tail array<bigint>, half string"
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for answer_id, question, answer, kind in batch.itertuples(index=False, name=None):
+        for answer_id, question, answer, kind, half in batch.itertuples(index=False, name=None):
             q, a = squeeze(question or ""), squeeze(answer or "")
             form = truncated_votes(a)
             tail = tail_contexts(a) if form[0] == "0" else None
-            out.append((answer_id, kind, empty_votes(a), copied_votes(q, a), language_votes(q, a), refusal_votes(a), form, detect(q, 2), None if tail is None else [*tail[0], tail[1]]))
+            out.append((answer_id, kind, empty_votes(a), copied_votes(q, a), language_votes(q, a), refusal_votes(a), form, detect(q, 2), None if tail is None else [*tail[0], tail[1]], half))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in VOTES.split(", ")])
 
 
 def _damage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each sampled pair damaged in every way (kind: half/defect), and as it is (half/none)."""
+    """Each pair damaged in one way, picked by its id (kind: half/defect); a way that the pair does not allow gives none."""
     declined = [a for _, a, kind in EXAMPLES if kind == "refusal"]
     nothing = [a for _, a, kind in EXAMPLES if kind == "empty"]
     for batch in batches:
         out = []
-        rows = [(int.from_bytes(hashlib.blake2b(f"{i}".encode(), digest_size=6).digest(), "little"), q, a) for i, q, a in batch[["answer_id", "question", "answer"]].itertuples(index=False, name=None) if q and a and len(a) > 40]
-        langs = [detect(q, 2) for _, q, _ in rows]
-        for n, (seed, q, a) in enumerate(rows):
-            half = "fit" if seed & 1 else "held"
+        rows = [(int.from_bytes(hashlib.blake2b(f"{i}".encode(), digest_size=6).digest(), "little"), half, q, a) for i, half, q, a in batch[["answer_id", "half", "question", "answer"]].itertuples(index=False, name=None)]
+        langs = [detect(q, 2) for _, _, q, _ in rows]
+        for n, (seed, half, q, a) in enumerate(rows):
             pick = lambda items, shift=1: items[(seed >> shift) % len(items)]
-            out.append((half + "/none", q, a))
-            if re.search(r"[.!?。！？]\s*$", a) and len(a) > 60:
+            way, damaged = DEFECTS[(seed >> 40) % len(DEFECTS)], None
+            if way == "truncated" and re.search(r"[.!?。！？]\s*$", a) and len(a) > 60:
                 cut = a[: int(len(a) * (0.3 + 0.65 * ((seed >> 8) % 1000) / 1000))].rstrip()
-                if cut and cut[-1] not in _STOP:
-                    out.append((half + "/truncated", q, cut))
-            words = q.split(" ")
-            gone = (seed >> 4) % max(1, len(words))
-            out.append((half + "/copied_question", q, pick([q, q.lower(), q.upper(), "Question: " + q, f'"{q}"', " ".join(words[:gone] + words[gone + 1 :]) if len(words) > 4 else q])))
-            out.append((half + "/refusal", q, pick(declined, 3)))
-            out.append((half + "/empty", q, pick(nothing, 3)))
-            far = next((m for m in range(n + 1, min(n + 60, len(rows))) if langs[m] and langs[n] and langs[m] != langs[n] and detect(rows[m][2], 3) == langs[m]), None)
-            if far is not None:
-                out.append((half + "/other_language", q, rows[far][2]))
+                damaged = cut if cut and cut[-1] not in _STOP else None
+            elif way == "copied_question":
+                words = q.split(" ")
+                gone = (seed >> 4) % max(1, len(words))
+                damaged = pick([q, q.lower(), q.upper(), "Question: " + q, f'"{q}"', " ".join(words[:gone] + words[gone + 1 :]) if len(words) > 4 else q])
+            elif way in ("refusal", "empty"):
+                damaged = pick(declined if way == "refusal" else nothing, 3)
+            elif way == "other_language":
+                far = next((m for m in range(n + 1, min(n + 60, len(rows))) if langs[m] and langs[n] and langs[m] != langs[n] and detect(rows[m][3], 3) == langs[m]), None)
+                damaged = rows[far][3] if far is not None else None
+            if damaged is not None:
+                out.append((f"{half}/{way}", q, damaged))
         yield pd.DataFrame(out, columns=["kind", "question", "answer"])
 
 
 def vote_table(pairs: DataFrame) -> DataFrame:
     """One row an answer_id with the vote string of each defect's functions and kind null; and the damaged and invented
-    pairs with their kind. Redelivered rows count once; null texts are empty."""
+    pairs with their kind. Every pair with a question and an answer over 40 characters is damaged in one way and counts
+    as sound as it is, in the half named (other pairs have none). Redelivered rows count once; null texts are empty."""
     spark = pairs.sparkSession
     rows = durable(pairs.where("answer_id is not null").select("answer_id", "question", "answer").dropDuplicates(["answer_id"]))
-    total = rows.count()
+    half = F.when(F.pmod(F.xxhash64("answer_id", F.lit(3)), F.lit(2)) == 0, "fit").otherwise("held")
+    rows = rows.withColumn("half", F.when((F.col("question") != "") & (F.length("answer") > 40), half))
     known = [("held/" + (k or "none") if n % 2 else "fit/" + (k or "none"), q, a) for n, (q, a, k) in enumerate(EXAMPLES)]
-    sampled = rows.where(F.pmod(F.xxhash64("answer_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, DAMAGED / max(total, 1)))).coalesce(1)  # a bounded sample; whole, so that languages meet
-    test = sampled.mapInPandas(_damage, "kind string, question string, answer string").unionByName(spark.createDataFrame(known, "kind string, question string, answer string"))
-    every = rows.withColumn("kind", F.lit(None).cast("string")).unionByName(test.withColumn("answer_id", F.lit(-1).cast("bigint")).select("answer_id", "question", "answer", "kind"))
+    damaged = rows.where("half is not null").mapInPandas(_damage, "kind string, question string, answer string")
+    test = damaged.unionByName(spark.createDataFrame(known, "kind string, question string, answer string"))
+    test = test.select(F.lit(-1).cast("bigint").alias("answer_id"), "question", "answer", "kind", F.lit(None).cast("string").alias("half"))
+    every = rows.withColumn("kind", F.lit(None).cast("string")).unionByName(test).select("answer_id", "question", "answer", "kind", "half")
     votes = durable(every.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(_votes, VOTES))
     asked = votes.where("tail is not null").select(F.explode("tail").alias("h")).where("h <> 0").distinct()
     slot = F.shiftrightunsigned("h", 64 - BITS)
@@ -350,7 +353,7 @@ def vote_table(pairs: DataFrame) -> DataFrame:
     near = F.when(far != "0", "0").otherwise(F.coalesce(say(2, 5, 0.02, 0.3), say(1, 5, 0.02, 0.3), F.lit("0")))  # a longer context says more
     judged = wide.select("tail_no", F.concat(dangling, fragment, near, far).alias("by_count"))
     joined = votes.withColumn("tail_no", F.xxhash64("tail")).join(small_side(durable(judged), 200_000), "tail_no", "left")
-    return joined.withColumn("truncated", F.concat("truncated", F.coalesce("by_count", F.lit("0000")))).select("answer_id", "kind", "lang", *DEFECTS)
+    return joined.withColumn("truncated", F.concat("truncated", F.coalesce("by_count", F.lit("0000")))).select("answer_id", "kind", "half", "lang", *DEFECTS)
 
 
 class LabelModel:
@@ -414,9 +417,12 @@ def _fitted(votes: DataFrame, defect: str) -> tuple[LabelModel, float, list] | N
         return None
     model = LabelModel([r[0] for r in rows], np.array([r[1] for r in rows], dtype=float))
     test = votes.where("kind is not null").groupBy(defect, "kind", "lang").count().collect()
+    test += votes.where("kind is null and half is not null").groupBy(defect, F.concat("half", F.lit("/none")).alias("kind"), "lang").count().collect()
     kinds = [r for r in test if r["kind"].endswith(("/none", "/" + defect))]
     fit = [r for r in kinds if r["kind"].startswith("fit/")]
-    cut = _cutoff(model.posterior([r[0] for r in fit]), np.array([r["kind"].endswith(defect) for r in fit]), np.array([float(r["count"]) for r in fit])) if fit else 0.5
+    bad, weights = np.array([r["kind"].endswith(defect) for r in fit], dtype=bool), np.array([float(r["count"]) for r in fit])
+    weights[~bad] *= weights[bad].sum() / max(1.0, weights[~bad].sum())  # sound and damaged pairs weigh alike: a pair is damaged in one way of several
+    cut = _cutoff(model.posterior([r[0] for r in fit]), bad, weights) if fit else 0.5
     return model, cut, [r for r in kinds if r["kind"].startswith("held/")]
 
 
@@ -448,7 +454,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
 def validation(pairs: DataFrame) -> DataFrame:
     """defect_type, lang, damaged, found, sound, wrongly_found, cutoff: the held-out half of the damaged and invented pairs.
 
-    `sound` are the sampled pairs as they are, so those of them that are defective count as wrongly found.
+    `sound` are the pairs as they are, so those of them that are defective count as wrongly found.
     """
     votes = durable(vote_table(pairs))
     out = []
